@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from strandline.llm import treebpe, wavelet
+from strandline.llm import langid, quality, treebpe, wavelet
 
 
 def _table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ordinal_quality(spark, folder):
+    return quality.ratings(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op2_wavelet_shards(spark, folder):
     return wavelet.digests(_table(spark, folder, "documents"))
 
 
+def op7_subword_langid(spark, folder):
+    return langid.predictions(_table(spark, folder, "documents"))
+
+
 def op8_tree_bpe(spark, folder):
     return treebpe.digests(_table(spark, folder, "documents"))
 
 
-QUERIES = {"op2_wavelet_shards": op2_wavelet_shards, "op8_tree_bpe": op8_tree_bpe}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_wavelet_shards, op7_subword_langid, op8_tree_bpe)}
 ORACLE_SQL = {}
