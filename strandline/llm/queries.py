@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import langid, quality, treebpe, wavelet
+from strandline.llm import decontam, langid, quality, treebpe, wavelet
 
 
 def _table(spark, folder, name):
@@ -17,6 +17,10 @@ def op2_wavelet_shards(spark, folder):
     return wavelet.digests(_table(spark, folder, "documents"))
 
 
+def op6_prefix_decontam(spark, folder):
+    return decontam.digests(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op7_subword_langid(spark, folder):
     return langid.predictions(_table(spark, folder, "documents"))
 
@@ -25,5 +29,5 @@ def op8_tree_bpe(spark, folder):
     return treebpe.digests(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_wavelet_shards, op7_subword_langid, op8_tree_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_wavelet_shards, op6_prefix_decontam, op7_subword_langid, op8_tree_bpe)}
 ORACLE_SQL = {}
