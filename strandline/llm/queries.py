@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontam, langid, minhash, quality, treebpe, wavelet
+from strandline.llm import decontam, hilbert, langid, minhash, quality, treebpe, wavelet
 
 
 def _table(spark, folder, name):
@@ -29,9 +29,13 @@ def op8_tree_bpe(spark, folder):
     return treebpe.digests(_table(spark, folder, "documents"))
 
 
+def op9_hilbert_shards(spark, folder):
+    return hilbert.digests(_table(spark, folder, "documents"))
+
+
 def op10_minhash(spark, folder):
     return minhash.clusters(_table(spark, folder, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_wavelet_shards, op6_prefix_decontam, op7_subword_langid, op8_tree_bpe, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_wavelet_shards, op6_prefix_decontam, op7_subword_langid, op8_tree_bpe, op9_hilbert_shards, op10_minhash)}
 ORACLE_SQL = {}
