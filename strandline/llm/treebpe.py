@@ -13,21 +13,27 @@ repeated rows and empty tables need no rule; other columns pass through untouche
 
 from __future__ import annotations
 
+import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import WordCache, tokenizer_path
-from strandline.llm.words import Words, gathered, text_slices
+from strandline.llm.words import SLICE_BYTES, Words, gathered, text_slices
 
 #: A piece of more bytes than this is joined from leaves of this many.
 LEAF = 256
 #: Blanks that the pre-tokenizer and Python both take as such; text is cut before one that follows a non-blank.
 _cut = re.compile(r"(?<=\S)(?=[ \n\t\r])")
-_letters = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Over ASCII and the letters of Latin-1 (`plain_text`), Python's classes and the pre-tokenizer's agree, and this is its pattern.
+PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+plain_text = re.compile(rf"[\t\n\r -~{PLAIN}]*")
+_pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{PLAIN}]+| ?[0-9]+| ?[^\s0-9{PLAIN}]+|\s+(?!\S)|\s+")
 _engines: dict[str, TreeBpe] = {}
 
 
@@ -38,6 +44,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def _pre_tokenizer_of(tokenizer) -> dict:
+    made = json.loads(tokenizer.to_str())["pre_tokenizer"] or {}
+    return {k: v for k, v in made.items() if k != "trim_offsets"}
+
+
 class TreeBpe:
     """A byte-level BPE tokenizer file; `of` gives one for each worker process."""
 
@@ -49,8 +60,8 @@ class TreeBpe:
         self.full.no_padding()
         self.plain = Tokenizer(self.full.model)
         self.model, self.leaf = self.full.model, leaf
-        self.alphabet = byte_alphabet()
-        byte_of = {c: b for b, c in enumerate(self.alphabet)}
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        byte_of = {c: b for b, c in self.alphabet.items()}
         self.token = {i: t for t, i in self.full.get_vocab(with_added_tokens=False).items()}
         self.bytes = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for i, t in self.token.items()}
         added = self.full.get_added_tokens_decoder()
@@ -59,8 +70,10 @@ class TreeBpe:
         self.plain_added = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in added.values())
         self.added = {t.content: i for i, t in added.items()}
         self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.spaced = WordCache(lambda w: self.piece(" " + w))
-        self.first = WordCache(self.piece, limit=100_000)
+        # The pattern above is for this pre-tokenizer; with another, the library cuts every text.
+        self.patterned = self.full.normalizer is None and _pre_tokenizer_of(self.full) == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.pieces = WordCache(self.piece)
+        self.table = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
 
     @classmethod
     def of(cls, name: str) -> TreeBpe:
@@ -69,22 +82,26 @@ class TreeBpe:
         return _engines[name]
 
     def mapped(self, text: str) -> str:
-        return "".join(map(self.alphabet.__getitem__, text.encode()))
-
-    def piece(self, text: str) -> np.ndarray:
-        """The ids of a text that the pre-tokenizer may still split and that holds no added token."""
-        simple = _letters.fullmatch(text, 1 if text[:1] == " " else 0)
-        if simple and len(text) <= self.leaf:
-            tokens = self.model.tokenize(self.mapped(text[: simple.end(1)]))
-            if simple[2]:
-                tokens += self.model.tokenize(simple[2])
-            return np.array([t.id for t in tokens], np.uint32)
+        return text.encode().decode("latin-1").translate(self.alphabet)
+
+    def piece(self, text: str) -> tuple[int, ...]:
+        """The ids of one piece of plain text that the pre-tokenizer leaves whole."""
+        part = self.mapped(text)
+        return tuple(self.tree(part)) if len(part) > self.leaf else tuple([t.id for t in self.model.tokenize(part)])
+
+    def chunk(self, text: str) -> list[int] | tuple[int, ...]:
+        """The ids of a text without added tokens."""
+        if self.patterned and plain_text.fullmatch(text):
+            parts = _pieces.findall(text)
+            if len(parts) == 1:
+                return self.pieces[text]
+            return [i for p in parts for i in self.pieces[p]]
         if len(text) <= self.leaf:
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self.full.encode(text, add_special_tokens=False).ids
         ids: list[int] = []
         for part, _ in self.full.pre_tokenizer.pre_tokenize_str(text):
             ids += self.tree(part) if len(part) > self.leaf else [t.id for t in self.model.tokenize(part)]
-        return np.array(ids, np.uint32)
+        return ids
 
     def run(self, part: list[str]) -> list[list[int]]:
         return [e.ids for e in self.plain.encode_batch(part, add_special_tokens=False)]
@@ -119,13 +136,14 @@ class TreeBpe:
         """The ids of any text, as the library gives them."""
         if not self.plain_added:
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
-        parts = []
+        ids: list[int] = []
         for segment in self.specials.split(text) if self.specials else [text]:
             if segment in self.added:
-                parts.append(np.array([self.added[segment]], np.uint32))
+                ids.append(self.added[segment])
             elif segment:
-                parts += [self.first[x] for x in _cut.split(segment)]
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+                for x in _cut.split(segment):
+                    ids += self.chunk(x)
+        return np.array(ids, np.uint32)
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, start of each text's and the end) of texts without nulls."""
@@ -136,12 +154,15 @@ class TreeBpe:
         names = words.distinct()
         head = words.starts[:-1]
         first, heads = np.unique(codes[head], return_inverse=True) if len(head) else (head, head)
-        parts = [self.spaced[w] for w in names] if len(codes) > len(head) else [np.empty(0, np.uint32)] * len(names)
-        parts += [self.first[names[c]] for c in first]
+        later = np.ones(len(codes), bool)
+        later[head] = False
+        used = np.bincount(codes[later], minlength=len(names)).astype(bool).tolist()
+        parts = [self.chunk(" " + w) if u else () for w, u in zip(names, used, strict=True)]
+        parts += [self.chunk(names[c]) for c in first]
         codes[head] = len(names) + heads
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         lengths_of = lengths[codes]
-        flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(lengths.sum()))
         ids = gathered(flat, np.cumsum(lengths) - lengths, lengths, codes)
         starts = np.concatenate(([0], np.cumsum(lengths_of)))[words.starts]
         if not odd.any():
@@ -159,6 +180,23 @@ class TreeBpe:
         """The text of ids; bytes that are not UTF-8 become replacement characters, as in the library."""
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
+    def decode_batch(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """The texts of ids end to end; `starts` has where each text's begin, and the end."""
+        if not len(self.table[0]):
+            top = max(self.bytes) + 1
+            lengths = np.array([len(self.bytes.get(i, b"")) for i in range(top)], np.int64)
+            self.table = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(top)), np.uint8), np.cumsum(lengths) - lengths, lengths
+        data = gathered(*self.table, ids)
+        at = np.concatenate(([0], np.cumsum(self.table[2][ids])))[starts]
+        try:
+            data.tobytes().decode()
+            whole = not ((data[at[:-1][at[:-1] < len(data)]] & 0xC0) == 0x80).any()
+        except UnicodeDecodeError:
+            whole = False
+        if not whole:
+            return pa.array([self.decode(ids[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.string())
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
+
 
 def encode(text: Column, vocabulary: str = "byte_bpe_50k.json") -> Column:
     """The ids of a text column as little-endian unsigned 32-bit integers in a binary."""
@@ -180,8 +218,20 @@ def decode(ids: Column, vocabulary: str = "byte_bpe_50k.json") -> Column:
 
     @F.arrow_udf("string")
     def bpe_decode(column: pa.Array) -> pa.Array:
-        engine = TreeBpe.of(vocabulary)
-        return pa.array([engine.decode(np.frombuffer(x, "<u4")) for x in (v.as_py() or b"" for v in column)], pa.string())
+        engine, out = TreeBpe.of(vocabulary), []
+        column = column.fill_null(b"")
+        sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES // 2, side="right")))
+            part = pa.concat_arrays([column.slice(at, to - at)])
+            starts = np.concatenate(([0], np.cumsum(sizes[at:to]))) // 4
+            offset = int(np.frombuffer(part.buffers()[1], np.int32)[part.offset])
+            ids = np.frombuffer(part.buffers()[2], "<u4", count=int(starts[-1]), offset=offset) if starts[-1] else np.empty(0, np.uint32)
+            out.append(engine.decode_batch(ids, starts))
+            at = to
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return bpe_decode(ids)
 
