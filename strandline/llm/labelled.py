@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The held-out fold: rows whose crc32(doc_id as text) leaves 0 when divided by this.
@@ -18,13 +20,10 @@ def least(df: DataFrame, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def sample(documents: DataFrame, labels: DataFrame, strata: list, rows: int) -> DataFrame:
-    """doc_id, text and the labels' columns of at most `rows` labelled documents outside the held-out fold for each
-    condition of `strata`. The labels are cut to size before they meet the texts, so that join moves no text."""
+def sample(documents: DataFrame, labels: DataFrame, strata: list[tuple[int, Column]]) -> DataFrame:
+    """doc_id, text and the labels' columns of labelled documents outside the held-out fold: at most so many rows for
+    each condition. The labels are cut to size before they meet the texts, so that join moves no text."""
     seen = labels.filter(F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
     # A label that no document has costs its place in the sample only.
-    some = [least(seen.filter(condition), rows) for condition in strata]
-    picked = some[0]
-    for one in some[1:]:
-        picked = picked.unionByName(one)
+    picked = reduce(DataFrame.unionByName, [least(seen.filter(condition), rows) for rows, condition in strata])
     return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])

@@ -157,7 +157,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
                     ["doc_id", "grade", "cols", "vals"],
                 )
 
-    table = sample(documents, rated, [F.lit(True)], rows).select("doc_id", "grade", "text").mapInArrow(features, "doc_id long, grade int, cols array<int>, vals array<float>").toArrow().combine_chunks().sort_by("doc_id")
+    table = sample(documents, rated, [(rows, F.lit(True))]).select("doc_id", "grade", "text").mapInArrow(features, "doc_id long, grade int, cols array<int>, vals array<float>").toArrow().combine_chunks().sort_by("doc_id")
     if not len(table):
         return Model("quality-none", np.zeros(BUCKETS), np.zeros(0), [])
     cols, vals = table["cols"].combine_chunks(), table["vals"].combine_chunks()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import decontam, hilbert, langid, minhash, quality, spotsigs, treebpe, wavelet
+from strandline.llm import decontam, hilbert, langid, minhash, quality, spotsigs, toxicity, treebpe, wavelet
 
 
 def _table(spark, folder, name):
@@ -17,6 +17,10 @@ def op2_wavelet_shards(spark, folder):
     return wavelet.digests(_table(spark, folder, "documents"))
 
 
+def op3_channel_toxicity(spark, folder):
+    return toxicity.scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_spotsigs(spark, folder):
     return spotsigs.digests(_table(spark, folder, "documents"))
 
@@ -41,5 +45,5 @@ def op10_minhash(spark, folder):
     return minhash.clusters(_table(spark, folder, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_wavelet_shards, op4_spotsigs, op6_prefix_decontam, op7_subword_langid, op8_tree_bpe, op9_hilbert_shards, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_wavelet_shards, op3_channel_toxicity, op4_spotsigs, op6_prefix_decontam, op7_subword_langid, op8_tree_bpe, op9_hilbert_shards, op10_minhash)}
 ORACLE_SQL = {}
