@@ -1,10 +1,27 @@
-"""Relational tables kept as parquet, one folder or file each."""
+"""Relational tables kept as parquet, one folder or file each, and a scratch folder for what queries write."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
+_own: list[str] = []
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder; columns and filters used later reach the parquet scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: spark.checkpoint.dir, or (unset, as in tests) a temp folder."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return f"{named.rstrip('/')}/strandline-core"
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="strandline-core-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    return f"file://{_own[0]}"
