@@ -40,7 +40,8 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¥": "y",
 }
 ANY = "*"  # one hidden letter
-SIGN_COST, DROP_COST, SPLIT_COST, DOUBLE_COST = 0.5, 2.5, 2.0, 1.0
+SIGN_COST, SPLIT_COST, DOUBLE_COST = 0.5, 2.0, 1.0
+DROP_COST, EDGE_DROP_COST = 9.0, 5.0  # a digit or a sign within that stands for nothing, a sign at an end
 
 _edges = ".,;:?!\"'`)]}([{…«»“”‘’"
 _parts = re.compile(r"[^\W_]+(?:[@$!|+(<€£¥*]+[^\W_]+)*[@$!|+€£¥]*|[@$!|+(<€£¥*]+[^\W_]+(?:[@$!|+(<€£¥*]+[^\W_]+)*")
@@ -101,11 +102,12 @@ def lattice_of(part: str, gaps: bool = False) -> list[list[tuple[str, float]]]:
         while j < len(part) and part[j] == part[i]:
             j += 1
         c, run = part[i], j - i
+        drop = [("", DROP_COST if c.isdigit() or 0 < i and j < len(part) else EDGE_DROP_COST)]
         if c == ANY:
-            out += [[(x, SIGN_COST + 1.0) for x in "abcdefghijklmnopqrstuvwxyz"] + [("", DROP_COST)]] * run
+            out += [[(x, SIGN_COST + 1.0) for x in "abcdefghijklmnopqrstuvwxyz"] + drop] * run
         elif c in STANDS_FOR:
             options = [(x * k, SIGN_COST + (DOUBLE_COST if k == 2 else 0)) for x in STANDS_FOR[c] for k in ((1, 2) if run > 1 else (1,))]
-            out.append(options + [("", DROP_COST)])
+            out.append(options + drop)
         elif run > 2 or gaps and run > 1:
             out.append([(c, 0.0), (c * 2, DOUBLE_COST)])
         else:
@@ -136,7 +138,7 @@ class Scorer:
             letters = sum(c.isalpha() for c in p)
             if letters == len(p) and not _long_run.search(p):
                 out.append(p)
-            elif 2 * letters >= len(p) and letters > 1:
+            elif 3 * letters >= len(p) and letters > 1:
                 out += self.chars.decode(lattice_of(p)).split()
             else:
                 out += _letter_runs.findall(p)
