@@ -29,9 +29,10 @@ def theta_join(left: DataFrame, right: DataFrame, on: Column | None, how: str =
     return left.crossJoin(right) if on is None else left.join(right, on, how)
 
 
-def hash_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", residual: Column | None = None) -> DataFrame:
-    """An equi-join that hashes the right side after a shuffle (adaptive execution may broadcast it); nulls never match."""
-    return left.join(right.hint("shuffle_hash"), on if residual is None else on & residual, how)
+def hash_join(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", residual: Column | None = None, strategy: str | None = None) -> DataFrame:
+    """An equi-join, with more conditions if `residual`; nulls never match. Catalyst and adaptive execution pick the
+    strategy from sizes (broadcast, hash or sort-merge, split where skewed); `strategy` names a hint for the right side."""
+    return left.join(right.hint(strategy) if strategy else right, on if residual is None else on & residual, how)
 
 
 def multiway_join(first: DataFrame, *rest: tuple[DataFrame, Column]) -> DataFrame:

@@ -139,7 +139,31 @@ def test_joins_agree(spark):
     b = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z"), (3, "w")], "m long, s string")
     on = F.col("k") == F.col("m")
     for how in ("inner", "left"):
-        assert sorted(map(str, relational.hash_join(a, b, on, how).collect())) == sorted(map(str, relational.theta_join(a, b, on, how).collect()))
+        plain = sorted(map(str, relational.theta_join(a, b, on, how).collect()))
+        for strategy in (None, "shuffle_hash", "broadcast", "merge"):
+            assert sorted(map(str, relational.hash_join(a, b, on, how, strategy=strategy).collect())) == plain
     assert relational.hash_join(a, b, on, residual=F.col("s") == "z").count() == 1
     assert relational.theta_join(a, b, None).count() == 12
     assert relational.page(a, 0).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_scans_push_down(spark):
+    from strandline.sources.tables import table
+
+    d = "/root/testdata/sf0.001"
+    plan = plan_of(relational.scan(table(spark, d, "orders"), ["o_orderkey"], lo=("o_orderkey", 5), hi=("o_orderkey", 9)))
+    assert "GreaterThanOrEqual(o_orderkey,5)" in plan and "LessThan(o_orderkey,9)" in plan and "ReadSchema: struct<o_orderkey:bigint>" in plan
+    plan = plan_of(table(spark, d, "nation").filter(F.col("n_regionkey").isin(1, 3)).select("n_name"))
+    assert "In(n_regionkey, [1,3])" in plan
+    plan = plan_of(relational.page(relational.sort(table(spark, d, "orders"), ("o_totalprice", False)), 3))
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_rollup_aggregates_before_the_shuffle(spark):
+    points = spark.range(100).selectExpr("id AS time", "cast(id AS double) AS value")
+    plan = plan_of(metrics.rollup(points, 60))
+    assert "partial_sum" in plan and plan.count("Exchange hashpartitioning") == 1
