@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import logtext, sqltext, tags
-from strandline.operators import catalog, dml, logs, metrics, relational, versioned
+from strandline.operators import admin, catalog, dml, logs, metrics, relational, versioned
+from strandline.sources import store
 from strandline.sources.tables import scratch_folder, table
 from strandline.streaming import rollup as streams
 
@@ -338,6 +339,13 @@ def rollup_negative_time(s, d):
     return metrics.rollup(points, 60).select("bucket", F.col("count").alias("n"))
 
 
+@_add(f"SELECT time, tags, metric_name, value FROM {_POINTS} WHERE time BETWEEN 1704672000 AND 1705276800")
+def metrics_store_range(s, d):
+    path = f"{scratch_folder(s)}/points-{uuid.uuid4().hex}"
+    store.append(_points(s, d), path)
+    return store.read(s, path, 1704672000, 1705276800)
+
+
 # --- logs
 
 
@@ -402,6 +410,14 @@ def log_retention(s, d):
     return logs.retain(table(s, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("time")), 1706572800).select("event_id")
 
 
+@_add("SELECT event_id, epoch_us(ts) // 1000000 AS time FROM events WHERE epoch_us(ts) // 1000000 >= 1705968000")
+def log_store_retention(s, d):
+    path = f"{scratch_folder(s)}/logs-{uuid.uuid4().hex}"
+    store.append(table(s, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("time")), path)
+    store.drop_before(s, path, 1705968000)
+    return store.read(s, path)
+
+
 @_add(f"SELECT event_id, 'event_type' AS tag FROM {_POINTS} WHERE time >= 1706000000")
 def index_expiry(s, d):
     points = _points(s, d, ("event_id",))
@@ -492,6 +508,16 @@ def rbac_effective(s, d):
     )
 
 
+@_add("""SELECT * FROM (VALUES (1, 0, 'CREATE USER', 'ann'), (2, 0, 'CREATE ROLE', 'reader'), (3, 1, 'GRANT', 'READ on 0 to reader'), (4, 1, 'ASSIGN', 'reader to ann'), (5, 1, 'DROP ROLE', 'reader')) t(number, by_user, action, detail)""")
+def audit_log(s, d):
+    a = admin.Admin()
+    ann, reader = a.add_user("ann"), a.add_role("reader")
+    a.grant(reader, "READ", by=ann)
+    a.assign(ann, reader, by=ann)
+    a.drop_role(reader, by=ann)
+    return s.createDataFrame(a.audit, "number int, by_user int, action string, detail string")
+
+
 @_add("""SELECT * FROM (VALUES (1, 'CREATE', 'app_logs', 'logs'), (2, 'CREATE', 'cpu', 'metrics'), (3, 'CREATE', 'users', 'sql'), (4, 'DROP', 'users', 'sql')) t(version, action, name, engine)""")
 def schema_history(s, d):
     r = catalog.Registry()

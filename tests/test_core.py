@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import logtext, sqltext, tags
-from strandline.operators import catalog, dml, logs, metrics, relational, versioned
+from strandline.operators import admin, catalog, ddl, dml, logs, metrics, relational, versioned
 
 
 def one(spark, expr, **literals):
@@ -167,3 +167,45 @@ def test_rollup_aggregates_before_the_shuffle(spark):
     points = spark.range(100).selectExpr("id AS time", "cast(id AS double) AS value")
     plan = plan_of(metrics.rollup(points, 60))
     assert "partial_sum" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_day_store_prunes(spark, tmp_path):
+    from strandline.sources import store
+
+    rows = spark.range(100).selectExpr("id * 7200 AS time", "id")
+    store.append(rows, str(tmp_path / "t"))
+    store.append(rows.filter("id < 3"), str(tmp_path / "t"))
+    got = store.read(spark, str(tmp_path / "t"), 2 * store.DAY, 3 * store.DAY - 1)
+    assert got.count() == 12 and "PartitionFilters: [isnotnull(day" in plan_of(got)
+    assert store.drop_before(spark, str(tmp_path / "t"), 2 * store.DAY + 5) == 2 and store.read(spark, str(tmp_path / "t")).count() == 76
+
+
+def test_admin(spark):
+    a = admin.Admin()
+    ann, bob = a.add_user("ann"), a.add_user("bob")
+    reader, root = a.add_role("reader"), a.add_role("root", True)
+    a.grant(reader, "READ")
+    a.grant(reader, "WRITE", 2)
+    a.assign(ann, reader)
+    a.assign(bob, root)
+    tables = spark.createDataFrame([(1,), (2,)], "table_id int")
+    asked = [(u, t, x) for u in (ann, bob) for t in (1, 2) for x in catalog.ACTIONS]
+    got = {tuple(r) for r in catalog.effective_permissions(*a.frames(spark), tables).collect()}
+    assert got == {q for q in asked if a.may(*q)} and (ann, 1, "WRITE") not in got
+    a.drop_role(reader)
+    assert not a.may(ann, 1, "READ") and not a.may(99, 1, "READ")
+    with pytest.raises(catalog.CatalogError):
+        a.grant(root, "FLY")
+    with pytest.raises(catalog.CatalogError):
+        a.add_user("ann")
+
+
+def test_ddl(spark):
+    r = catalog.Registry()
+    ddl.create_table(spark, r, "Ddl_Test", "id BIGINT, name STRING")
+    spark.sql("INSERT INTO ddl_test VALUES (1, 'a')")
+    assert spark.table("ddl_test").count() == 1 and r.route(["ddl_TEST"]) == "sql"
+    with pytest.raises(catalog.CatalogError):
+        ddl.create_table(spark, r, "ddl_test", "id BIGINT")
+    ddl.drop_table(spark, r, "DDL_test")
+    assert not spark.catalog.tableExists("ddl_test")
