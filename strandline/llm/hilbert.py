@@ -152,11 +152,11 @@ def write_shards(documents: DataFrame, path: str, dimensions: dict[str, Column],
     return shard
 
 
-def read_slots(documents: DataFrame, path: str, shard: str) -> DataFrame:
+def read_slots(documents: DataFrame, path: str, shard: str, slot: str = "slot") -> DataFrame:
     """The rows of `write_shards` (whose input was `documents`) with their shard and `slot`, the place in it from 0."""
     spark = documents.sparkSession
     if documents.isEmpty():
-        return documents.withColumn(shard, F.lit(0)).withColumn("slot", F.lit(0).cast("long")).limit(0)
+        return documents.withColumn(shard, F.lit(0)).withColumn(slot, F.lit(0).cast("long")).limit(0)
     schema = T.StructType([*documents.schema.fields, T.StructField(shard, T.IntegerType())])
     rows = spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     files = sorted((r[shard], r["_file"], r["n"]) for r in rows.groupBy(shard, "_file").agg(F.count("*").alias("n")).collect())
@@ -167,7 +167,7 @@ def read_slots(documents: DataFrame, path: str, shard: str) -> DataFrame:
         last, done = s, done + n
     # One row for each file written.
     base = spark.createDataFrame(bases, f"`{shard}` int, _file string, _base long")
-    return rows.join(F.broadcast(base), [shard, "_file"]).withColumn("slot", F.col("_base") + F.col("_row")).drop("_file", "_row", "_base")
+    return rows.join(F.broadcast(base), [shard, "_file"]).withColumn(slot, F.col("_base") + F.col("_row")).drop("_file", "_row", "_base")
 
 
 def document_dimensions() -> dict[str, Column]:
