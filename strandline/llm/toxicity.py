@@ -62,10 +62,20 @@ class CharModel:
             last = code % (ALPHABET * ALPHABET)
             self.one[last] = self.one.get(last, 0) + n
         self.after: dict[int, int] = {}
+        self.costs: dict[str, float] = {}
         for last, n in self.one.items():
             self.after[last // ALPHABET] = self.after.get(last // ALPHABET, 0) + n
 
-    def cost(self, a: str, b: str, c: str) -> float:
+    def cost(self, three: str) -> float:
+        """Of the last of three characters after the other two; kept for as many as the alphabet's pairs."""
+        known = self.costs.get(three)
+        if known is None:
+            if len(self.costs) > ALPHABET * ALPHABET:
+                self.costs.clear()
+            known = self.costs[three] = self._cost(*three)
+        return known
+
+    def _cost(self, a: str, b: str, c: str) -> float:
         x, y, z = (min(ord(k), ALPHABET - 1) for k in (a, b, c))
         pair, last = x * ALPHABET + y, y * ALPHABET + z
         low = (self.one.get(last, 0) + 0.5) / (self.after.get(y, 0) + 0.5 * 60)
@@ -80,8 +90,9 @@ class CharModel:
                 for emitted, cost in options:
                     total, last = spent + cost, state
                     for c in emitted:
-                        total += self.cost(last[0], last[1], c)
-                        last = last[1] + c
+                        last += c
+                        total += self.cost(last)
+                        last = last[1:]
                     if last not in following or total < following[last][0]:
                         following[last] = (total, (path, emitted) if emitted else path)
             best = following
