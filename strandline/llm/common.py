@@ -69,6 +69,16 @@ class WordCache(dict):
         return value
 
 
+_latest: dict[str, tuple[str, object]] = {}
+
+
+def latest(kind: str, name: str, make):
+    """What make() gave for `name`, kept in this worker process until another name of its kind is asked for."""
+    if kind not in _latest or _latest[kind][0] != name:
+        _latest[kind] = (name, make())
+    return _latest[kind][1]
+
+
 def tokenizer_path(name: str) -> str:
     """A vocabulary file's place on this machine (every executor has the public_tokenizers package)."""
     import public_tokenizers

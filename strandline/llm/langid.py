@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordCache
+from strandline.llm.common import WordCache, latest
 from strandline.llm.labelled import held_out, least
 from strandline.llm.words import Words, text_slices
 
@@ -35,7 +35,6 @@ UND = "und"
 MAY_REJECT = 0.002
 
 _letters = re.compile(r"[^\W\d_]+")
-_caches: dict[str, WordCache] = {}
 
 
 def subwords(word: str) -> list[int]:
@@ -62,7 +61,7 @@ class Model:
     def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(scores before the softmax, number of subwords) of each text."""
         words, k = Words(texts), len(self.languages)
-        cache = _caches.setdefault(self.name, WordCache(self._word, limit=300_000))
+        cache = latest("langid", self.name, lambda: WordCache(self._word, limit=300_000))
         each = np.array([cache[w] for w in words.distinct()], np.float64).reshape(-1, k + 1)
         sums = np.stack([words.sums(each[:, j]) for j in range(k + 1)], 1)
         n = sums[:, k]
@@ -89,10 +88,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: float = 6.0, seed: int = 7) -> Model:
     """rows: (subword ids, shares that sum to 1, language). Every tenth row only calibrates."""
-    name = f"langid-{seed}-{zlib.crc32(repr([(len(i), y) for i, _, y in rows]).encode())}"
     languages = sorted({y for _, _, y in rows})
     if not languages:
-        return Model(name, [], np.zeros((1, 0)), np.zeros(0))
+        return Model("none", [], np.zeros((1, 0)), np.zeros(0))
     target = {y: k for k, y in enumerate(languages)}
     rng = np.random.default_rng(seed)
     embeddings = rng.normal(0, 0.1, (BUCKETS, WIDTH))
@@ -113,7 +111,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: f
             layer -= 0.1 * lr * np.outer(hidden, gap)
             bias -= 0.01 * lr * gap
             embeddings[ids] -= lr * shares[:, None] * back
-    model = Model(name, languages, (embeddings @ layer).astype(np.float32), bias)
+    scores = (embeddings @ layer).astype(np.float32)
+    model = Model(str(zlib.crc32(scores.tobytes())), languages, scores, bias)
     if held:
         logits = np.array([shares @ model.scores[ids] + bias for ids, shares, _ in held])
         truth = np.array([target[y] for _, _, y in held])

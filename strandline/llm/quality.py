@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordCache
+from strandline.llm.common import WordCache, latest
 from strandline.llm.labelled import sample
 from strandline.llm.words import Words, text_slices
 
@@ -31,7 +31,6 @@ BUCKETS = 1 << 18
 #: A document is rejected where its tail probability is below this.
 REJECT = 0.5
 
-_caches: dict[str, WordCache] = {}
 _kinds = re.compile(r"([^\W\d_]+)|(\d+)|(\s+)|(.)", re.S)
 
 
@@ -81,7 +80,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         words = Words(texts)
-        cache = _caches.setdefault(self.name, WordCache(lambda w: float(self.weights[word_features(w)].sum()), limit=300_000))
+        cache = latest("quality", self.name, lambda: WordCache(lambda w: float(self.weights[word_features(w)].sum()), limit=300_000))
         each = np.array([cache[w] for w in words.distinct()], np.float64)
         mean = words.sums(each) / np.maximum(words.counts, 1) if len(each) else np.zeros(len(texts))
         return mean + self.weights[text_features(words, texts)].sum(1)

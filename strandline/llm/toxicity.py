@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordCache
+from strandline.llm.common import WordCache, latest
 from strandline.llm.labelled import held_out, sample
 from strandline.llm.words import Words, text_slices
 
@@ -47,7 +47,6 @@ _edges = ".,;:?!\"'`)]}([{…«»“”‘’"
 _parts = re.compile(r"[^\W_]+(?:[@$!|+(<€£¥*]+[^\W_]+)*[@$!|+€£¥]*|[@$!|+(<€£¥*]+[^\W_]+(?:[@$!|+(<€£¥*]+[^\W_]+)*")
 _long_run = re.compile(r"(.)\1\1")
 _letter_runs = re.compile(r"[^\W\d_]+")
-_caches: dict[str, tuple[WordCache, WordCache]] = {}
 
 
 class CharModel:
@@ -162,7 +161,7 @@ class Scorer:
     def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature) of each feature of each text, once."""
         words = Words(texts)
-        token_cache, run_cache = _caches.setdefault(self.name, (WordCache(lambda t: self.known(self.restored(t)), limit=300_000), WordCache(lambda r: self.known(self.spaced(r)), limit=20_000)))
+        token_cache, run_cache = latest("toxicity", self.name, lambda: (WordCache(lambda t: self.known(self.restored(t)), limit=300_000), WordCache(lambda r: self.known(self.spaced(r)), limit=20_000)))
         names = words.distinct()
         each = [token_cache[w] for w in names]
         some = np.fromiter((bool(e) for e in each), bool, len(each))
@@ -186,7 +185,7 @@ class Scorer:
 
     def known(self, words: list[str]) -> list[int]:
         own = {f for w in words for f in word_features(w)}
-        return sorted(own) if self.name == "training" else sorted(f for f in own if f in self.weights)
+        return sorted(own) if self.name.startswith("training") else sorted(f for f in own if f in self.weights)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         docs, features = self.features(texts)
@@ -253,7 +252,7 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, othe
     if not n_toxic or not n_other:
         share = min(1 - 1e-6, max(1e-6, n_toxic / (n_toxic + n_other))) if n_toxic + n_other else 0.5
         return Scorer(chars, {}, math.log(share / (1 - share)), "toxicity-none")
-    draft = Scorer(chars, name="training")
+    draft = Scorer(chars, name=f"training-{hash(frozenset(chars.three.items()))}")
 
     def features(batches):
         for batch in batches:
