@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component): the least node reachable, for every node of `edges` (u, v; any order, repeats and loops allowed).
+    """(node, component), staged: the least node reachable, for every node of `edges` (u, v; any order, repeats and loops allowed).
 
     Each round is staged in the shared folder and replaces the one before; it ends when a round changes nothing, told
     by the number of edges and two sums over them. Stars about a hot node are joins that adaptive execution can split.
@@ -42,4 +42,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         discard(spark, now)
         now = following
     out = now.select(F.col("v").alias("node"), F.col("u").alias("component"))
-    return out.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    out = staged(out.unionByName(now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()), f"{name}-nodes")
+    discard(spark, now)
+    return out

@@ -6,10 +6,12 @@
 2. Classes that share a band (`rows` minima) are a bucket. All members are paired with the bucket's least class
    (a star, so a bucket of k gives k - 1 pairs), pairs are verified on the signatures and then on the full sets,
    and the links' components are found.
-3. Links that no star holds join different components. In buckets whose members still belong to more than one
-   component, all pairs across components are compared: small buckets as they are; larger ones are first parted by the
-   other bands too (two classes above the threshold share many bands) and then compared in square blocks of members,
-   each a task's worth. Within a component nothing is compared again, so a bucket of copies costs nothing here.
+3. A link that no star holds joins different components that the stars' pairs, verified or not, hold together in one
+   pool. Pools with several components are compared on the full sets: members outside the pool's largest component
+   with all the others. A pool is cut into blocks (BLOCK members, BLOCK_SHINGLES shingles at most, by hash) and each
+   pair of blocks that may hold such a link is one small group, which gives no more links than it joins components.
+   Pools of more than POOL members are replaced by their members' buckets. Copies of one text that the stars have
+   joined are not compared again.
 
 Sets are made again from the text for classes in some pair only, which takes less room than keeping all. `plan` picks
 rows and bands so that a pair at the threshold shares no band with a probability of MISS at most.
@@ -31,12 +33,11 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import WordCache, discard, staged
 from strandline.llm.components import components
-from strandline.llm.words import LOWER_ASCII, Words, splitmix, text_slices
+from strandline.llm.words import LOWER_ASCII, Words, gathered, splitmix, text_slices
 
 MISS = 1e-6
-#: Buckets of more members are parted further and compared in blocks.
-SMALL = 32
-BLOCK = 256
+#: Members and shingles of a block, members of a pool.
+BLOCK, BLOCK_SHINGLES, POOL = 128, 400_000, 4096
 
 _hashes = WordCache(lambda w: xxhash.xxh3_64_intdigest(w.encode()), limit=300_000)
 
@@ -167,22 +168,64 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width:
     return out
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of members (bucket, doc_id, component) of one bucket and different components.
-
-    Members of a bucket are dealt to blocks of about BLOCK; each pair of blocks meets in one group, so no group holds
-    more than two blocks whatever the bucket's size."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("members"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("long")
-    dealt = members.join(sizes, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    sent = dealt.withColumn("meet", F.explode(pair)).select(F.xxhash64("bucket", "meet.i", "meet.j").alias("meet"), "bucket", "doc_id", "component")
-    x, y = sent.select("meet", "bucket", F.col("doc_id").alias("a"), F.col("component").alias("ca")), sent.select("meet", "bucket", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, ["meet", "bucket"]).filter("a < b AND ca != cb").select("a", "b").distinct()
-
-
-def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, name of each row, staged; (doc_id, component) of the classes that are linked to another)."""
+def _meets(pooled: DataFrame) -> DataFrame:
+    """(meet, inner, seed, doc_id, component) from members (pool, doc_id, component, n) of pools: `meet` names a pair of
+    blocks, `seed` rows are to be compared with the others, and where `inner` is set with each other too."""
+    parts = pooled.groupBy("pool", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    pools = parts.groupBy("pool").agg(
+        F.max(F.struct("members", "component", "shingles")).alias("core"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")
+    )
+    blocks = lambda m, n: F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    sized = pools.filter("parts > 1").select(
+        "pool", F.col("core.component").alias("core"), blocks(F.col("core.members"), F.col("core.shingles")).alias("p"), blocks(F.col("members") - F.col("core.members"), F.col("shingles") - F.col("core.shingles")).alias("q")
+    )
+    here = pooled.join(sized, "pool").withColumn("in_core", F.col("component") == F.col("core"))
+    here = here.withColumn("block", F.pmod(F.xxhash64("doc_id", "pool"), F.when(F.col("in_core"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("block").alias("i"), j.alias("j"), F.lit(False).alias("seed")))
+    with_core = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("seed")))
+    among = F.transform(
+        F.filter(F.sequence(F.lit(0), F.col("q") - 1), lambda j: j != F.col("block")),
+        lambda j: F.struct(F.lit(1).alias("kind"), F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j"), (j < F.col("block")).alias("seed")),
+    )
+    sent = here.withColumn("m", F.explode(F.when(F.col("in_core"), with_rest).otherwise(F.concat(with_core, among))))
+    inner = (F.col("m.kind") == 0) & (F.col("m.i") == 0)
+    return sent.select(F.xxhash64("pool", "m.kind", "m.i", "m.j").alias("meet"), inner.alias("inner"), F.col("m.seed").alias("seed"), "doc_id", "component")
+
+
+def _joining_links(percent: int):
+    """What a meet gives: links (u, v) between its rows' sets that join different components, one for each joining."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        docs, seed = table["doc_id"].to_numpy(), table["seed"].to_numpy(zero_copy_only=False)
+        root, inner = table["component"].to_numpy().copy(), table["inner"][0].as_py()
+        sets = table["set"].combine_chunks()
+        n = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, shingle = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        starts = np.concatenate(([0], np.cumsum(n)))
+        owner = np.repeat(np.arange(len(docs)), n)
+        if not inner:  # only the other side is looked up
+            keep = ~seed[owner]
+            owner, posted = owner[keep], shingle[keep]
+        else:
+            posted = shingle
+        order = np.argsort(posted, kind="stable")
+        owner, counts = owner[order], np.bincount(posted, minlength=int(shingle.max(initial=-1)) + 1)
+        at = np.cumsum(counts) - counts
+        out = []
+        for s in np.flatnonzero(seed):
+            both = np.bincount(gathered(owner, at, counts, shingle[starts[s] : starts[s + 1]]), minlength=len(docs))
+            close = np.flatnonzero((100 * both >= percent * (n[s] + n - both)) & (root != root[s]))
+            for c in np.unique(root[close], return_index=True)[1]:
+                t = close[c]
+                out.append((docs[s], docs[t]))
+            root[np.isin(root, root[close])] = root[s]
+        return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
+
+    return compare
+
+
+def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n, component) of each row, staged."""
     spark = documents.sparkSession
     rows, bands = plan(percent)
     sketched = staged(_sketches(documents, width, rows, bands), "minhash-sketches")
@@ -191,38 +234,36 @@ def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> tuple[Dat
     classes = staged(
         sketched.join(names, ["name", "doc_id"]).groupBy("doc_id").agg(F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bands").alias("bands")), "minhash-classes"
     )
-    banded = staged(classes.select("doc_id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "doc_id"), "minhash-bands")
+    banded = classes.select("doc_id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "doc_id")
     stars = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    pairs = banded.withColumnRenamed("doc_id", "b").join(stars.select("bucket", "a"), "bucket").filter("a != b").select("a", "b").distinct()
+    pairs = staged(banded.withColumnRenamed("doc_id", "b").join(stars.select("bucket", "a"), "bucket").filter("a != b").select("a", "b").distinct(), "minhash-stars")
     links = _verified(pairs, classes, documents, width, percent, rows * bands, "minhash-star")
-    found = staged(components(links, "minhash-cc"), "minhash-found")
-
-    # What the stars leave: buckets that still hold several components.
-    mine = banded.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = mine.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo != hi")
-    open_ = staged(mine.join(several.select("bucket", "members"), "bucket"), "minhash-open")
-    small = _across(open_.filter(F.col("members") <= SMALL).select("bucket", "doc_id", "component"))
-    # A large bucket's members meet again by each other band they share.
-    large = open_.filter(F.col("members") > SMALL).join(classes.select("doc_id", "bands"), "doc_id")
-    finer = large.select("doc_id", "component", "bucket", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("bucket", "band", "value").alias("finer"), F.xxhash64("band", "value").alias("again"), "bucket", "doc_id", "component")
-    finer = finer.filter("again != bucket").select(F.col("finer").alias("bucket"), "doc_id", "component")
-    still = finer.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi")
-    rest = small.unionByName(_across(finer.join(still.select("bucket"), "bucket"))).distinct()
-    more = _verified(rest, classes, documents, width, percent, rows * bands, "minhash-rest")
-    found = staged(components(links.unionByName(more), "minhash-cc"), "minhash-found")
-    discard(spark, banded, open_, links, more)
+    found = components(links, "minhash-found")
+
+    # What the stars leave: pools that hold several components.
+    pools = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "minhash-pools").withColumnsRenamed({"node": "doc_id", "component": "pool"})
+    mine = pools.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mine = mine.join(classes.select("doc_id", "n"), "doc_id").join(pools.groupBy("pool").agg(F.count("*").alias("size")), "pool")
+    mine = staged(mine, "minhash-members")
+    by_bucket = mine.filter(F.col("size") > POOL).drop("pool").join(banded.withColumnRenamed("bucket", "pool"), "doc_id")
+    pooled = mine.filter(F.col("size") <= POOL).select("pool", "doc_id", "component", "n").unionByName(by_bucket.select("pool", "doc_id", "component", "n"))
+    meets = staged(_meets(pooled), "minhash-meets")
+    sets = _sets(documents, meets.select("doc_id").distinct(), width).dropDuplicates(["doc_id"])
+    more = meets.join(sets, "doc_id").groupBy("meet").applyInArrow(_joining_links(percent), "u long, v long")
+    more = staged(more, "minhash-more")
+    found_all = components(links.unionByName(more), "minhash-found")
     result = staged(
         sketched.select("doc_id", "n", "name").join(names.withColumnRenamed("doc_id", "least"), "name", "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("least"))
-        .join(found.withColumnRenamed("node", "least"), "least", "left").select("doc_id", "n", F.coalesce("component", "least").alias("component")),
+        .join(found_all.withColumnRenamed("node", "least"), "least", "left").select("doc_id", "n", F.coalesce("component", "least").alias("component")),
         "minhash-result",
     )
-    discard(spark, sketched, classes)
-    return result, found
+    discard(spark, sketched, classes, pairs, links, found, mine, meets, more, found_all)
+    return result
 
 
 def clusters(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept for each row of documents (doc_id, text)."""
-    result, _ = linked(documents.select("doc_id", "text"), width, percent)
+    result = linked(documents.select("doc_id", "text"), width, percent)
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

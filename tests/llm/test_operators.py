@@ -184,8 +184,8 @@ def test_minhash_equals_brute_force(spark):
 
 
 def test_minhash_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", 2)
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "POOL", 8)
     test_minhash_equals_brute_force(spark)
 
 
