@@ -230,7 +230,8 @@ def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     rows, bands = plan(percent)
     sketched = staged(_sketches(documents, width, rows, bands), "minhash-sketches")
     # The least doc_id of each set, found with sums that tasks make before the shuffle.
-    names = sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    # Staged, so that the joins on a set with very many copies have two plain exchanges and can be split.
+    names = staged(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id")), "minhash-names")
     classes = staged(
         sketched.join(names, ["name", "doc_id"]).groupBy("doc_id").agg(F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bands").alias("bands")), "minhash-classes"
     )
@@ -257,7 +258,7 @@ def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
         .join(found_all.withColumnRenamed("node", "least"), "least", "left").select("doc_id", "n", F.coalesce("component", "least").alias("component")),
         "minhash-result",
     )
-    discard(spark, sketched, classes, pairs, links, found, mine, meets, more, found_all)
+    discard(spark, sketched, names, classes, pairs, links, found, mine, meets, more, found_all)
     return result
 
 
