@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import WordCache, latest
 from strandline.llm.labelled import held_out, least
-from strandline.llm.words import Words, text_slices
+from strandline.llm.words import Words, gathered, text_slices
 
 SAMPLE = 4000
 BUCKETS = 1 << 16
@@ -42,9 +43,13 @@ def subwords(word: str) -> list[int]:
     out = []
     for run in _letters.findall(word.lower()):
         marked = f"<{run}>"
-        data = [c.encode() for c in marked]
-        for n in (2, 3, 4):
-            out += [zlib.crc32(b"".join(data[i : i + n])) for i in range(len(data) - n + 1)]
+        if marked.isascii():  # the same bytes, cut without decoding
+            data = marked.encode()
+            for n in (2, 3, 4):
+                out += [zlib.crc32(data[i : i + n]) for i in range(len(data) - n + 1)]
+        else:
+            for n in (2, 3, 4):
+                out += [zlib.crc32(marked[i : i + n].encode()) for i in range(len(marked) - n + 1)]
         out.append(zlib.crc32(marked.encode()))
     return [h % BUCKETS for h in out]
 
@@ -136,10 +141,16 @@ def train(documents: DataFrame, rows: int = SAMPLE) -> Model:
     def features(batches):
         for batch in batches:
             ids, shares = [], []
-            for text in batch.column("text"):
-                found, n = np.unique(np.array([h for w in text.as_py().split() for h in subwords(w)], np.int32), return_counts=True)
-                ids.append(found)
-                shares.append((n / max(1, n.sum())).astype(np.float32))
+            for _, texts in text_slices(batch.column("text")):
+                words = Words(texts)
+                each = [subwords(w) for w in words.distinct()]
+                lengths = np.fromiter(map(len, each), np.int64, len(each))
+                flat = np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum()))
+                at = np.cumsum(lengths) - lengths
+                for i in range(len(texts)):
+                    found, n = np.unique(gathered(flat, at, lengths, words.codes[words.starts[i] : words.starts[i + 1]]), return_counts=True)
+                    ids.append(found)
+                    shares.append((n / max(1, n.sum())).astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["doc_id", "lang", "ids", "shares"])
 
     table = picked.mapInArrow(features, "doc_id long, lang string, ids array<int>, shares array<float>").toArrow()
