@@ -7,7 +7,8 @@ file with the documents' ids and lengths.
 
 Documents are sorted by doc_id (nulls first; equal ids by text) into partitions, and each partition writes files
 of about SHARD_TOKENS ids to the shared folder, under a name that a repeated task writes again with the same bytes.
-Only the number of ids of each partition comes to the driver.
+Only the number of ids of each partition comes to the driver. Executors write through Arrow's file systems (local or
+mounted folders, s3, gs, hdfs); the files are read with Spark's own binary source.
 
 Cases: a null text is an empty one and has the end id alone; a text of any length goes whole into one shard;
 repeated rows are separate documents; an empty table gives no file and an empty result; other columns are ignored.
@@ -44,7 +45,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, null_ids: np
     rest = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     sections = [doc_ids.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), np.packbits(null_ids).tobytes()]
     for level in range(bits - 1, -1, -1):
-        bit = (rest >> level & 1).astype(bool)
+        bit = (rest & rest.dtype.type(1 << level)) != 0
         plane = np.packbits(bit)
         before = np.concatenate(([0], np.cumsum(_ones[np.pad(plane, (0, -len(plane) % (BLOCK // 8)))].reshape(-1, BLOCK // 8).sum(1, dtype=np.int64))))
         sections += [plane.tobytes(), before.astype("<u4").tobytes()]
@@ -143,8 +144,9 @@ class WaveletShard:
         for k in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
             back = np.empty_like(out)
-            back[~bit], back[bit] = out[: self.zeros[k]], out[self.zeros[k] :]
-            out = back | bit.astype(out.dtype) << np.array(self.bits - 1 - k, out.dtype)
+            back[~bit] = out[: self.zeros[k]]
+            back[bit] = out[self.zeros[k] :] | out.dtype.type(1 << (self.bits - 1 - k))
+            out = back
         return out
 
 
@@ -162,7 +164,9 @@ class WordBpe:
         self.full.no_truncation()
         self.full.no_padding()
         self.model, self.alphabet = self.full.model, dict(enumerate(byte_alphabet()))
-        self.added = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        # Words with a character that starts an added token are left to the library.
+        starts = "".join({re.escape(t.content[:1]) for t in self.full.get_added_tokens_decoder().values()})
+        self.odd = re.compile(f"[{starts}]" if starts else "(?!)")
         self.pieces = WordCache(lambda p: tuple([t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))]))
         # The pattern above is that of one file; it is used only where it gives what the library gives.
         sample = ["Abc", "été,", "Über.%%%", "it's", "x1y22", "(a)", "L'été", "!!", "don't've"]
@@ -177,9 +181,12 @@ class WordBpe:
     def by_pattern(self, word: str) -> list[int]:
         return [i for p in self._pieces.findall(word.lower()) for i in self.pieces[p]]
 
-    def word(self, word: str) -> list[int]:
-        if self.patterned and plain_text.fullmatch(word) and not any(a in word for a in self.added):
-            return self.by_pattern(word)
+    def word(self, word: str) -> list[int] | tuple[int, ...]:
+        if self.patterned:
+            if word.isascii() and word.isalpha():
+                return self.pieces[word.lower()]
+            if plain_text.fullmatch(word) and not self.odd.search(word):
+                return self.by_pattern(word)
         return self.full.encode(word, add_special_tokens=False).ids
 
     def encode_batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
