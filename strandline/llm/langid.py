@@ -4,8 +4,8 @@ A text is the average of the embeddings of its words' subwords (character n-gram
 fixed table); a linear layer and softmax give the languages. Embeddings and layer are trained by stochastic gradient
 descent in numpy on a bounded sample (SAMPLE rows) of labelled documents outside the held-out fold; a temperature
 and a rejection threshold are then fitted on a part of that sample that training did not see. As the network is
-linear up to the softmax, a word's share of each language's score is one small vector, computed once for each
-distinct word of a batch.
+linear up to the softmax, a word's share of each language's score is one small vector, made in bulk for the distinct
+words of a batch.
 
 Cases: null texts and texts without a letter are `und` with score 0; texts are scored whole, of any length; rows are
 independent (ties and repeated rows need no rule); an empty table gives an empty result; without a labelled row
@@ -14,19 +14,17 @@ everything is `und`; other columns are not touched.
 
 from __future__ import annotations
 
-import re
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordCache, latest
 from strandline.llm.labelled import held_out, least
-from strandline.llm.words import Words, gathered, text_slices
+from strandline.llm.words import Words, gathered, splitmix, text_slices
 
 SAMPLE = 4000
 BUCKETS = 1 << 16
@@ -35,28 +33,47 @@ UND = "und"
 #: Share of correctly predicted calibration texts that the rejection threshold may turn away.
 MAY_REJECT = 0.002
 
-_letters = re.compile(r"[^\W\d_]+")
-
-
-def subwords(word: str) -> list[int]:
-    """Hashes of the 1- to 4-character pieces of each run of letters in a word, with its ends marked, and of the run."""
-    out = []
-    for run in _letters.findall(word.lower()):
-        marked = f"<{run}>"
-        if marked.isascii():  # the same bytes, cut without decoding
-            data = marked.encode()
-            for n in (2, 3, 4):
-                out += [zlib.crc32(data[i : i + n]) for i in range(len(data) - n + 1)]
-        else:
-            for n in (2, 3, 4):
-                out += [zlib.crc32(marked[i : i + n].encode()) for i in range(len(marked) - n + 1)]
-        out.append(zlib.crc32(marked.encode()))
-    return [h % BUCKETS for h in out]
+#: Words whose subwords are made at a time.
+CHUNK = 50_000
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, number of the word of each), some words at a time: for each run of letters in a lower-cased word its
+    pieces of 2 to 4 characters, where what stands before and after the run counts as one mark, and the run itself."""
+    for first in range(0, len(words), CHUNK):
+        points = np.frombuffer(("\n" + "\n".join(words[first : first + CHUNK]).lower() + "\n").encode("utf-32-le"), np.uint32)
+        owner = np.cumsum(points == 10) - 1 + first
+        letter = _letters()[points]
+        mixed = splitmix(np.where(letter, points, 0).astype(np.uint64) + np.uint64(1))
+        out, whose = [], []
+        for n in (2, 3, 4):
+            stop = len(points) - n + 1
+            inner = np.ones(stop, bool) if n == 2 else np.logical_and.reduce([letter[k : k + stop] for k in range(1, n - 1)])
+            at = np.flatnonzero(inner & (letter[:stop] | letter[n - 1 : n - 1 + stop]))
+            hashed = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + mixed[at + k]
+            out.append(splitmix(hashed))
+            whose.append(owner[at])
+        starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+        if len(starts):
+            ends = np.flatnonzero(letter[:-1] & ~letter[1:]) + 1
+            place = np.arange(len(points)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(points)]))))
+            each = np.where(letter, splitmix(mixed + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.uint64(0))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each)))
+            out.append(splitmix(sums[ends] - sums[starts]))
+            whose.append(owner[starts])
+        yield (np.concatenate(out) % np.uint64(BUCKETS)).astype(np.int32), np.concatenate(whose)
 
 
 @dataclass
 class Model:
-    name: str
     languages: list[str]
     scores: np.ndarray  # BUCKETS x languages: each subword's share, embedding times layer
     bias: np.ndarray
@@ -66,16 +83,16 @@ class Model:
     def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(scores before the softmax, number of subwords) of each text."""
         words, k = Words(texts), len(self.languages)
-        cache = latest("langid", self.name, lambda: WordCache(self._word, limit=300_000))
-        each = np.array([cache[w] for w in words.distinct()], np.float64).reshape(-1, k + 1)
+        each = np.zeros((len(words.words), k + 1))
+        for ids, owner in subwords(words.distinct()):
+            low, high = int(owner.min(initial=0)), int(owner.max(initial=-1)) + 1
+            for j in range(k):
+                each[low:high, j] += np.bincount(owner - low, weights=self.scores[ids, j], minlength=high - low)
+            each[low:high, k] += np.bincount(owner - low, minlength=high - low)
         sums = np.stack([words.sums(each[:, j]) for j in range(k + 1)], 1)
         n = sums[:, k]
         return sums[:, :k] / np.maximum(n, 1)[:, None] + self.bias, n
 
-    def _word(self, word: str) -> np.ndarray:
-        ids = subwords(word)
-        return np.append(self.scores[ids].sum(0), len(ids))
-
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """(language, probability) of each text without nulls."""
         if not self.languages:
@@ -95,7 +112,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: f
     """rows: (subword ids, shares that sum to 1, language). Every tenth row only calibrates."""
     languages = sorted({y for _, _, y in rows})
     if not languages:
-        return Model("none", [], np.zeros((1, 0)), np.zeros(0))
+        return Model([], np.zeros((1, 0)), np.zeros(0))
     target = {y: k for k, y in enumerate(languages)}
     rng = np.random.default_rng(seed)
     embeddings = rng.normal(0, 0.1, (BUCKETS, WIDTH))
@@ -117,7 +134,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: f
             bias -= 0.01 * lr * gap
             embeddings[ids] -= lr * shares[:, None] * back
     scores = (embeddings @ layer).astype(np.float32)
-    model = Model(str(zlib.crc32(scores.tobytes())), languages, scores, bias)
+    model = Model(languages, scores, bias)
     if held:
         logits = np.array([shares @ model.scores[ids] + bias for ids, shares, _ in held])
         truth = np.array([target[y] for _, _, y in held])
@@ -143,9 +160,10 @@ def train(documents: DataFrame, rows: int = SAMPLE) -> Model:
             ids, shares = [], []
             for _, texts in text_slices(batch.column("text")):
                 words = Words(texts)
-                each = [subwords(w) for w in words.distinct()]
-                lengths = np.fromiter(map(len, each), np.int64, len(each))
-                flat = np.fromiter(chain.from_iterable(each), np.int32, int(lengths.sum()))
+                names, parts = words.distinct(), [(np.empty(0, np.int32), np.empty(0, np.int64))]
+                flat, owner = (np.concatenate(x) for x in zip(*parts, *subwords(names), strict=True))
+                flat = flat[np.argsort(owner, kind="stable")]
+                lengths = np.bincount(owner, minlength=len(names))
                 at = np.cumsum(lengths) - lengths
                 for i in range(len(texts)):
                     found, n = np.unique(gathered(flat, at, lengths, words.codes[words.starts[i] : words.starts[i + 1]]), return_counts=True)
