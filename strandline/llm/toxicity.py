@@ -2,8 +2,10 @@
 
 A disguised token is a lattice: a sign may stand for a letter (or for nothing), a run of one letter for one or two of
 it, a gap between single characters for nothing or a word's end. The path of least channel cost plus character
-trigram cost is its restored text; the trigrams are counted over all documents. Tokens of letters without long runs
-have one path and are taken as they are. Restored words and their first characters are hashed features, present or
+trigram cost is its restored text; the trigrams are counted over all documents. Every part with a digit or a sign is
+decoded, however few letters it has; one more path takes it as it is written (a number, a code), of which only the
+letters are words. Paths dearer than one already known are left early, which changes no result. Signs that are punctuation too are dropped at an end at a lower cost. Tokens of letters without
+runs have one path and are taken as they are. Restored words and their first characters are hashed features, present or
 not, of a logistic regression with L1 (FTRL-proximal), trained on a bounded sample (TOXIC and OTHER rows) outside the
 held-out fold; its intercept is set back to the shares of all training labels. Most weights are zero, so long clean
 texts gather no noise.
@@ -41,10 +43,16 @@ STANDS_FOR = {
 }
 ANY = "*"  # one hidden letter
 SIGN_COST, SPLIT_COST, DOUBLE_COST = 0.5, 2.0, 1.0
+HALVE_COST = 6.0  # two of a letter that stand for one
 DROP_COST, EDGE_DROP_COST = 9.0, 5.0  # a digit or a sign within that stands for nothing, a sign at an end
+OPEN_DROP_COST = 3.0  # a bracket that opens and is not closed in its token; closed ones and a last "!" cost nothing
+KEEP_COST = 8.0  # a part with letters taken as it is written, beyond its trigrams; without letters this costs nothing
+NUMBER_COST = math.log(10)  # at most this for each character of a number
 
 _edges = ".,;:?!\"'`)]}([{…«»“”‘’"
-_parts = re.compile(r"[^\W_]+(?:[@$!|+(<€£¥*]+[^\W_]+)*[@$!|+€£¥]*|[@$!|+(<€£¥*]+[^\W_]+(?:[@$!|+(<€£¥*]+[^\W_]+)*")
+_plain_edges = "".join(c for c in _edges if c not in STANDS_FOR)
+_parts = re.compile(r"(?:[^\W_]|[@$!|+(<€£¥*])+")
+_double = re.compile(r"(.)\1")
 _long_run = re.compile(r"(.)\1\1")
 _letter_runs = re.compile(r"[^\W\d_]+")
 
@@ -80,8 +88,17 @@ class CharModel:
         low = (self.one.get(last, 0) + 0.5) / (self.after.get(y, 0) + 0.5 * 60)
         return -math.log((self.three.get(pair * ALPHABET + z, 0) + 5 * low) / (self.two.get(pair, 0) + 5))
 
+    def price(self, text: str) -> float:
+        """Of a text as it is written, standing between two blanks."""
+        padded = f"  {text} "
+        return sum(self.cost(padded[k : k + 3]) for k in range(len(padded) - 2))
+
     def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
-        """The cheapest text: one option of each place, the text standing between two blanks."""
+        return self.cheapest(lattice)[0]
+
+    def cheapest(self, lattice: list[list[tuple[str, float]]], ceiling: float = math.inf) -> tuple[str, float]:
+        """The cheapest text with its cost: one option of each place, the text standing between two blanks. No cost is
+        below 0, so paths beyond `ceiling` are left; where none is within, the cost is infinite."""
         best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
         for options in [*lattice, [(" ", 0.0)]]:
             following: dict[str, tuple[float, tuple | None]] = {}
@@ -92,19 +109,32 @@ class CharModel:
                         last += c
                         total += self.cost(last)
                         last = last[1:]
-                    if last not in following or total < following[last][0]:
+                    if total <= ceiling and (last not in following or total < following[last][0]):
                         following[last] = (total, (path, emitted) if emitted else path)
             best = following
-        _, path = min(best.values(), key=lambda v: v[0])
+        if not best:
+            return "", math.inf
+        least, path = min(best.values(), key=lambda v: v[0])
         out = []
         while path is not None:
             path, emitted = path
             out.append(emitted)
-        return "".join(reversed(out)).strip()
+        return "".join(reversed(out)).strip(), least
+
 
+def drop_cost(c: str, first: bool, last: bool, closed: bool) -> float:
+    if c == "!" and first and not last:
+        return DROP_COST
+    if c == "!" and last or c == "(" and first and closed:
+        return 0.0
+    if c == "(" and first:
+        return OPEN_DROP_COST
+    return EDGE_DROP_COST if (first or last) and not c.isdigit() else DROP_COST
 
-def lattice_of(part: str, gaps: bool = False) -> list[list[tuple[str, float]]]:
-    """The places of a disguised part and what each may stand for; gaps: its characters stood apart."""
+
+def lattice_of(part: str, gaps: bool = False, closed: bool = False) -> list[list[tuple[str, float]]]:
+    """The places of a disguised part and what each may stand for; gaps: its characters stood apart; closed: a bracket
+    that opens it is closed."""
     out: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(part):
@@ -112,14 +142,18 @@ def lattice_of(part: str, gaps: bool = False) -> list[list[tuple[str, float]]]:
         while j < len(part) and part[j] == part[i]:
             j += 1
         c, run = part[i], j - i
-        drop = [("", DROP_COST if c.isdigit() or 0 < i and j < len(part) else EDGE_DROP_COST)]
+        drop = [("", drop_cost(c, i == 0, j == len(part), closed))]
         if c == ANY:
-            out += [[(x, SIGN_COST + 1.0) for x in "abcdefghijklmnopqrstuvwxyz"] + drop] * run
+            # Stars at an end are dropped together.
+            each = [("", drop[0][1] / run)] if i == 0 or j == len(part) else drop
+            out += [[(x, SIGN_COST + 1.0) for x in "abcdefghijklmnopqrstuvwxyz"] + each] * run
         elif c in STANDS_FOR:
             options = [(x * k, SIGN_COST + (DOUBLE_COST if k == 2 else 0)) for x in STANDS_FOR[c] for k in ((1, 2) if run > 1 else (1,))]
             out.append(options + drop)
         elif run > 2 or gaps and run > 1:
             out.append([(c, 0.0), (c * 2, DOUBLE_COST)])
+        elif run == 2 and c.isalpha():
+            out.append([(c * 2, 0.0), (c, HALVE_COST)])
         else:
             out += [[(c, 0.0)]] * run
         if gaps and j < len(part):
@@ -137,26 +171,48 @@ class Scorer:
 
     def restored(self, token: str) -> list[str]:
         """The words of one token between blanks, disguises undone."""
-        core = token.lower().strip(_edges)
-        if core.isalpha() and not _long_run.search(core):
-            return [core]
+        token = token.lower()
+        core = token.strip(_plain_edges)
+        if core.isalpha():
+            return self.plain(core)
         parts = _parts.findall(core)
-        if len(parts) > 3 and all(len(p) == 1 for p in parts):
-            return self.spaced("".join(parts))
-        out = []
-        for p in parts:
-            letters = sum(c.isalpha() for c in p)
-            if letters == len(p) and not _long_run.search(p):
-                out.append(p)
-            elif 3 * letters >= len(p) and letters > 1:
-                out += self.chars.decode(lattice_of(p)).split()
-            else:
-                out += _letter_runs.findall(p)
-        return out
+        bare = [p.strip(_edges) or p for p in parts]
+        if len(parts) > 3 and all(len(p) == 1 for p in bare):
+            return self.spaced("".join(bare))
+        return [w for p in parts for w in (self.plain(p) if p.isalpha() else self.decoded(p, closed=")" in token))]
+
+    def plain(self, word: str) -> list[str]:
+        """A word of letters: decoded if it has a long run, or a double letter that costs more than one of it."""
+        if _long_run.search(word):
+            return self.chars.decode(lattice_of(word)).split()
+        doubles = [m.start() + 2 for m in _double.finditer(word)]
+        if doubles:
+            cost, p = self.chars.cost, f"  {word} "
+            near = any(b - a < 3 for a, b in zip(doubles, doubles[1:]))
+            if near or any(cost(p[k - 1 : k + 2]) + cost(p[k : k + 3]) - cost(p[k - 1 : k + 1] + p[k + 2]) > HALVE_COST for k in doubles):
+                return self.chars.decode(lattice_of(word)).split()
+        return [word]
+
+    def decoded(self, part: str, gaps: bool = False, closed: bool = False) -> list[str]:
+        """The words of a part with signs or digits: of its lattice, or its letters where it is cheaper as written."""
+        if not any(c.isalnum() or c in STANDS_FOR and c not in _edges for c in part):
+            return []
+        lettered = any(c.isalpha() for c in part)
+        kept = math.inf
+        if not (gaps and lettered):
+            kept = self.chars.price(" ".join(part) if gaps else part) + (KEEP_COST if lettered else 0.0)
+            if not lettered and any(c.isdigit() for c in part):
+                kept = min(kept, NUMBER_COST * len(part))
+        lattice, ceiling = lattice_of(part, gaps, closed), kept
+        if ANY in part:
+            _, without = self.chars.cheapest([options[-1:] if len(options) > 26 else options for options in lattice], kept)
+            ceiling = min(kept, without + 1e-6)
+        text, cost = self.chars.cheapest(lattice, ceiling)
+        return text.split() if cost < kept else _letter_runs.findall(part)
 
     def spaced(self, run: str) -> list[str]:
         """The words of characters that stood apart."""
-        return self.chars.decode(lattice_of(run, gaps=True)).split()
+        return self.decoded(run, gaps=True)
 
     def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature) of each feature of each text, once."""

@@ -373,6 +373,19 @@ def test_deobfuscation(corpus):
     assert set(toxicity.word_features("moron")) <= features("you m o r o n now") and features("") == set()
 
 
+def test_lattice_decides_for_signs_and_digits(corpus):
+    docs, _ = corpus
+    scorer = toxicity.Scorer(toxicity.char_model(docs))
+    for disguised, words in {
+        "1053r": ["loser"], "1d107": ["idiot"], "5(um": ["scum"], "!diot": ["idiot"], "(lown": ["clown"],
+        "moroon": ["moron"], "worthless": ["worthless"], "(the)": ["the"], "the!!": ["the"], "the***": ["the"],
+        "2023-05-01": [], "(017)": [], "$5": [], "***": [], "!!": [],
+    }.items():
+        assert scorer.restored(disguised) == words, disguised
+    # "as" or "ass": what the corpus makes likelier.
+    assert all(scorer.restored(x) in (["as"], ["ass"]) for x in ("a$$", "@$$"))
+
+
 def test_toxicity_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(k * 3, 1, 0) for k in range(9)] + [(30, 1, None)], "doc_id long, quality int, toxic int")
