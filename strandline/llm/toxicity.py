@@ -100,7 +100,9 @@ class CharModel:
         """The cheapest text with its cost: one option of each place, the text standing between two blanks. No cost is
         below 0, so paths beyond `ceiling` are left; where none is within, the cost is infinite."""
         best: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
+        left = ceiling - sum(min(cost for _, cost in options) for options in lattice) if ceiling < math.inf else math.inf
         for options in [*lattice, [(" ", 0.0)]]:
+            left += min(cost for _, cost in options) if left < math.inf else 0.0  # what is left but for the places to come
             following: dict[str, tuple[float, tuple | None]] = {}
             for state, (spent, path) in best.items():
                 for emitted, cost in options:
@@ -109,7 +111,7 @@ class CharModel:
                         last += c
                         total += self.cost(last)
                         last = last[1:]
-                    if total <= ceiling and (last not in following or total < following[last][0]):
+                    if total <= left and (last not in following or total < following[last][0]):
                         following[last] = (total, (path, emitted) if emitted else path)
             best = following
         if not best:
@@ -150,10 +152,10 @@ def lattice_of(part: str, gaps: bool = False, closed: bool = False) -> list[list
         elif c in STANDS_FOR:
             options = [(x * k, SIGN_COST + (DOUBLE_COST if k == 2 else 0)) for x in STANDS_FOR[c] for k in ((1, 2) if run > 1 else (1,))]
             out.append(options + drop)
-        elif run > 2 or gaps and run > 1:
+        elif run > 2:
             out.append([(c, 0.0), (c * 2, DOUBLE_COST)])
         elif run == 2 and c.isalpha():
-            out.append([(c * 2, 0.0), (c, HALVE_COST)])
+            out.append([(c * 2, 0.0), (c, HALVE_COST)] + ([(f"{c} {c}", SPLIT_COST)] if gaps else []))
         else:
             out += [[(c, 0.0)]] * run
         if gaps and j < len(part):
@@ -177,20 +179,21 @@ class Scorer:
             return self.plain(core)
         parts = _parts.findall(core)
         bare = [p.strip(_edges) or p for p in parts]
-        if len(parts) > 3 and all(len(p) == 1 for p in bare):
+        if len(parts) > 2 and all(len(p) == 1 for p in bare):
             return self.spaced("".join(bare))
         return [w for p in parts for w in (self.plain(p) if p.isalpha() else self.decoded(p, closed=")" in token))]
 
     def plain(self, word: str) -> list[str]:
         """A word of letters: decoded if it has a long run, or a double letter that costs more than one of it."""
+        if not _double.search(word):
+            return [word]
         if _long_run.search(word):
             return self.chars.decode(lattice_of(word)).split()
         doubles = [m.start() + 2 for m in _double.finditer(word)]
-        if doubles:
-            cost, p = self.chars.cost, f"  {word} "
-            near = any(b - a < 3 for a, b in zip(doubles, doubles[1:]))
-            if near or any(cost(p[k - 1 : k + 2]) + cost(p[k : k + 3]) - cost(p[k - 1 : k + 1] + p[k + 2]) > HALVE_COST for k in doubles):
-                return self.chars.decode(lattice_of(word)).split()
+        cost, p = self.chars.cost, f"  {word} "
+        near = any(b - a < 3 for a, b in zip(doubles, doubles[1:]))
+        if near or any((two := cost(p[k - 1 : k + 2]) + cost(p[k : k + 3])) > HALVE_COST and two - cost(p[k - 1 : k + 1] + p[k + 2]) > HALVE_COST for k in doubles):
+            return self.chars.decode(lattice_of(word)).split()
         return [word]
 
     def decoded(self, part: str, gaps: bool = False, closed: bool = False) -> list[str]:
@@ -203,10 +206,10 @@ class Scorer:
             kept = self.chars.price(" ".join(part) if gaps else part) + (KEEP_COST if lettered else 0.0)
             if not lettered and any(c.isdigit() for c in part):
                 kept = min(kept, NUMBER_COST * len(part))
-        lattice, ceiling = lattice_of(part, gaps, closed), kept
+        lattice, ceiling = lattice_of(part, gaps, closed), math.inf if lettered else kept
         if ANY in part:
             _, without = self.chars.cheapest([options[-1:] if len(options) > 26 else options for options in lattice], kept)
-            ceiling = min(kept, without + 1e-6)
+            ceiling = min(kept, without) + 1e-6
         text, cost = self.chars.cheapest(lattice, ceiling)
         return text.split() if cost < kept else _letter_runs.findall(part)
 
@@ -227,14 +230,15 @@ class Scorer:
             used = np.flatnonzero(some[words.codes])
             pairs = np.unique(docs[used].astype(np.int64) * len(names) + words.codes[used])
             found += [(p // len(names), f) for p in pairs.tolist() for f in each[p % len(names)]]
-        # Four and more single characters in a row are one disguised run.
-        single = np.fromiter((len(w) == 1 and (w.isalnum() or w in STANDS_FOR or w == ANY) for w in names), bool, len(names))
+        # Three and more single characters in a row, whatever punctuation stands at them, are one disguised run.
+        alone = [lone(w) for w in names]
+        single = np.fromiter((a != "" for a in alone), bool, len(names))
         if single.any():
             is_single = single[words.codes]
             change = np.flatnonzero(np.concatenate(([True], (is_single[1:] != is_single[:-1]) | (docs[1:] != docs[:-1]), [True]))) if len(docs) else np.zeros(1, int)
             for a, b in zip(change[:-1].tolist(), change[1:].tolist(), strict=True):
-                if b - a > 3 and is_single[a]:
-                    run = "".join(names[c] for c in words.codes[a:b].tolist()).lower()
+                if b - a > 2 and is_single[a]:
+                    run = "".join(alone[c] for c in words.codes[a:b].tolist()).lower()
                     found += [(int(docs[a]), f) for f in run_cache[run]]
         both = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
         return both[:, 0], both[:, 1]
@@ -249,6 +253,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(sums + self.intercept, -500, 500)))
 
 
+def lone(token: str) -> str:
+    """The one character of a token that is a single letter, digit or sign but for punctuation at its ends, or ""."""
+    core = token if len(token) == 1 else token.strip(_edges)
+    return core if len(core) == 1 and (core.isalnum() or core in STANDS_FOR or core == ANY) else ""
+
+
 def word_features(word: str) -> list[int]:
     """The word and its first three to seven characters."""
     return [zlib.crc32(x.encode()) % BUCKETS for x in ({f"w{word}"} | {f"p{word[:n]}" for n in range(3, 8) if len(word) >= n})]

@@ -386,6 +386,14 @@ def test_lattice_decides_for_signs_and_digits(corpus):
     assert all(scorer.restored(x) in (["as"], ["ass"]) for x in ("a$$", "@$$"))
 
 
+def test_spaced_words_with_punctuation(corpus):
+    docs, _ = corpus
+    draft = toxicity.Scorer(toxicity.char_model(docs), name="training-spaced")
+    features = lambda t: set(draft.features(pa.array([t]))[1].tolist())
+    for text, word in {"the s c u m. the": "scum", 'the "m o r o n." the': "moron", "the m, o, r, o, n! the": "moron", "the s u m the": "sum", "the s.u.m the": "sum"}.items():
+        assert set(toxicity.word_features(word)) <= features(text), text
+
+
 def test_toxicity_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(k * 3, 1, 0) for k in range(9)] + [(30, 1, None)], "doc_id long, quality int, toxic int")
