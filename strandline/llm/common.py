@@ -1,13 +1,18 @@
-"""What the corpus operators share: the shared folder, staged tables and per-worker word caches."""
+"""What the corpus operators share: the shared folder, staged tables, bounded Arrow batches and what a worker keeps."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
@@ -54,29 +59,76 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a table's files (compressed) for one task of a shuffle that moves texts, and the most tasks of one.
+TASK_BYTES, MOST_TASKS = 32 << 20, 100_000
+
+
+def dealt(df: DataFrame, *keys, tasks: int | None = None) -> DataFrame:
+    """`df` dealt to ranges of `keys`, to as many tasks as the session says, or more where the table's size asks for it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    by_size = 0 if size >= 1 << 60 else min(MOST_TASKS, -(-size // TASK_BYTES))  # beyond: Spark's mark of an unknown size
+    n = max(tasks or 0, by_size)
+    return df.repartitionByRange(n, *keys) if n > partitions(df.sparkSession) else df.repartitionByRange(*keys)
+
+
+#: Text, ids and what is made of them for one Arrow batch stay within a few times this.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session get a bound in bytes (their bound in rows alone lets long texts fill any memory).
+    A smaller bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark._jsparkSession.sessionState().conf().getConfString(key).lower().removesuffix("b")
+    if not known.isdigit() or not 0 < int(known) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class WordCache(dict):
-    """word -> make(word), computed on a miss and forgotten when `limit` words are held; long words are never held."""
+    """word -> make(word), a number or a short list, computed on a miss; forgotten when words and values take about
+    `limit` bytes. Long words are never held."""
+
+    #: Of a dictionary's slot and the headers of a string and a value.
+    EACH = 220
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 64):
-        self.make, self.limit, self.longest = make, limit, longest
+    def __init__(self, make, limit: int = 32 << 20, longest: int = 64):
+        self.make, self.limit, self.longest, self.size = make, limit, longest, 0
 
     def __missing__(self, word):
         value = self.make(word)
         if len(word) <= self.longest:
-            if len(self) >= self.limit:
+            self.size += self.EACH + len(word) + 8 * (len(value) if isinstance(value, (list, tuple)) else 1)
+            if self.size > self.limit:
                 self.clear()
+                self.size = 0
             self[word] = value
         return value
 
 
-_latest: dict[str, tuple[str, object]] = {}
+_held: dict[str, tuple[object, object]] = {}
+
+
+def held(name: str, make):
+    """What make() gave for `name`, kept in this worker process for its next tasks. When another stage asks for
+    something first, what stages before it used goes, and its memory goes back to the system: a worker that serves many
+    operators holds the models and caches of one."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage is not None and (old := [k for k, (s, _) in _held.items() if s != stage and k != name]):
+        for k in old:
+            del _held[k]
+        release()
+    value = _held[name][1] if name in _held else make()
+    _held[name] = (stage, value)
+    return value
 
 
-def latest(kind: str, name: str, make):
-    """What make() gave for `name`, kept in this worker process until another name of its kind is asked for."""
-    if kind not in _latest or _latest[kind][0] != name:
-        _latest[kind] = (name, make())
-    return _latest[kind][1]
+def release() -> None:
+    """Hands freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def tokenizer_path(name: str) -> str:

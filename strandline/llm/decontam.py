@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import discard, staged
+from strandline.llm.common import bound_batches, discard, staged
 from strandline.llm.words import ALNUM_ASCII, Words, text_slices
 
 WINDOW = 13
@@ -162,13 +162,16 @@ def _search(text: Column, index: dict[str, list], window: int, before: Column |
 
 def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, column: str = "found") -> DataFrame:
     """`documents` with a struct column: n_words, spans (merged runs of words hit, from 0) and items (ids that occur)."""
-    done = None
+    bound_batches(documents.sparkSession)
+    done = copy = None
     for block in _blocks(benchmark, window, block_bytes):
         vocabulary = {w for _, text in block for w in words_of(text)}
         index = prefix_index(block, word_counts(documents, vocabulary), window)
         if done is not None:
-            earlier, done = done, staged(done, "decontam")
-            discard(documents.sparkSession, earlier)
+            # What earlier blocks found goes on from a staged copy; the copy before it has been read for the last time.
+            before, copy = copy, staged(done, "decontam")
+            done = copy
+            discard(documents.sparkSession, before)
         source = documents if done is None else done
         done = source.withColumn(column, _search(F.col("text"), index, window, None if done is None else F.col(column)))
     return documents.withColumn(column, _search(F.col("text"), {}, window, None)) if done is None else done

@@ -28,8 +28,10 @@ def least(df: DataFrame, rows: int) -> DataFrame:
 
 def sample(documents: DataFrame, labels: DataFrame, strata: list[tuple[int, Column]]) -> DataFrame:
     """doc_id, text and the labels' columns of labelled documents outside the held-out fold: at most so many rows for
-    each condition. The labels are cut to size before they meet the texts, so that join moves no text."""
-    seen = labels.filter(F.col("doc_id").isNotNull() & ~held_out()).dropDuplicates(["doc_id"])
+    each condition. `labels` has one row for a doc_id. They are cut to size before they meet the texts, so that join
+    moves no text; of several texts of one doc_id the least counts."""
+    seen = labels.filter(F.col("doc_id").isNotNull() & ~held_out())
     # A label that no document has costs its place in the sample only.
     picked = reduce(DataFrame.unionByName, [least(seen.filter(condition), rows) for rows, condition in strata])
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    joined = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return joined.groupBy(*picked.columns).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))

@@ -2,10 +2,15 @@
 
 A text is the average of the embeddings of its words' subwords (character n-grams with word ends, hashed into a
 fixed table); a linear layer and softmax give the languages. Embeddings and layer are trained by stochastic gradient
-descent in numpy on a bounded sample (SAMPLE rows) of labelled documents outside the held-out fold; a temperature
-and a rejection threshold are then fitted on a part of that sample that training did not see. As the network is
-linear up to the softmax, a word's share of each language's score is one small vector, made in bulk for the distinct
-words of a batch.
+descent in numpy on a bounded sample (SAMPLE rows) of labelled documents outside the held-out fold; a temperature and
+two rejection thresholds are then fitted on a part of that sample that training did not see. As the network is linear
+up to the softmax, a word's share of each language's score is one small vector, made in bulk for the distinct words of a
+batch.
+
+A text is rejected if the margin of its language (log-odds against all others) or the familiarity of its subwords
+(average log share among the training texts' subwords, by the same buckets) is below what calibration texts have. The
+softmax alone does not do: it is just as sure of many texts in a language that it never saw. Either threshold is the
+MAY_REJECT quantile of the calibration texts, less SLACK times its distance from their median, as they are few.
 
 Cases: null texts and texts without a letter are `und` with score 0; texts are scored whole, of any length; rows are
 independent (ties and repeated rows need no rule); an empty table gives an empty result; without a labelled row
@@ -23,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import bound_batches
 from strandline.llm.labelled import held_out, least
 from strandline.llm.words import Words, gathered, splitmix, text_slices
 
@@ -30,8 +36,8 @@ SAMPLE = 4000
 BUCKETS = 1 << 16
 WIDTH = 16
 UND = "und"
-#: Share of correctly predicted calibration texts that the rejection threshold may turn away.
-MAY_REJECT = 0.002
+#: Share of correctly predicted calibration texts that may be below a rejection threshold, and its slack.
+MAY_REJECT, SLACK = 0.002, 0.1
 
 #: Words whose subwords are made at a time.
 CHUNK = 50_000
@@ -45,7 +51,8 @@ def _letters() -> np.ndarray:
 
 def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hashes, number of the word of each), some words at a time: for each run of letters in a lower-cased word its
-    pieces of 2 to 4 characters, where what stands before and after the run counts as one mark, and the run itself."""
+    pieces of 2 to 4 characters, where what stands before and after the run counts as one mark (no piece has both), and
+    the run itself."""
     for first in range(0, len(words), CHUNK):
         points = np.frombuffer(("\n" + "\n".join(words[first : first + CHUNK]).lower() + "\n").encode("utf-32-le"), np.uint32)
         owner = np.cumsum(points == 10) - 1 + first
@@ -75,14 +82,15 @@ def subwords(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # BUCKETS x languages: each subword's share, embedding times layer
+    scores: np.ndarray  # BUCKETS x (languages, familiarity): each subword's share, embedding times layer
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    least_margin: float = -np.inf
+    least_familiar: float = -np.inf
 
     def logits(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(scores before the softmax, number of subwords) of each text."""
-        words, k = Words(texts), len(self.languages)
+        """(scores before the softmax and, last, familiarity; number of subwords) of each text."""
+        words, k = Words(texts), self.scores.shape[1]
         each = np.zeros((len(words.words), k + 1))
         for ids, owner in subwords(words.distinct()):
             low, high = int(owner.min(initial=0)), int(owner.max(initial=-1)) + 1
@@ -91,16 +99,17 @@ class Model:
             each[low:high, k] += np.bincount(owner - low, minlength=high - low)
         sums = np.stack([words.sums(each[:, j]) for j in range(k + 1)], 1)
         n = sums[:, k]
-        return sums[:, :k] / np.maximum(n, 1)[:, None] + self.bias, n
+        return sums[:, :k] / np.maximum(n, 1)[:, None] + np.append(self.bias, 0), n
 
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        """(language, probability) of each text without nulls."""
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, probability, whether it is rejected) of each text without nulls."""
         if not self.languages:
-            return [UND] * len(texts), np.zeros(len(texts))
+            return [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         logits, n = self.logits(texts)
-        p = softmax(logits / self.temperature)
+        p = softmax(logits[:, :-1] / self.temperature)
         best = p.argmax(1)
-        return [self.languages[b] if m else UND for b, m in zip(best, n, strict=True)], np.where(n > 0, p[np.arange(len(p)), best], 0.0)
+        rejected = (n == 0) | (margins(logits[:, :-1] / self.temperature) < self.least_margin) | (logits[:, -1] < self.least_familiar)
+        return [self.languages[b] if m else UND for b, m in zip(best, n, strict=True)], np.where(n > 0, p[np.arange(len(p)), best], 0.0), rejected
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -108,11 +117,27 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def margins(x: np.ndarray) -> np.ndarray:
+    """The log-odds of the likeliest column of each row against all others."""
+    if x.shape[1] < 2:
+        return np.full(len(x), np.inf)
+    ordered = np.sort(x, 1)
+    top = ordered[:, -2:-1]
+    return ordered[:, -1] - top[:, 0] - np.log(np.exp(ordered[:, :-1] - top).sum(1))
+
+
+def _threshold(values: np.ndarray) -> float:
+    if not len(values) or not np.isfinite(values).all():
+        return -np.inf
+    low = np.sort(values)[int(MAY_REJECT * len(values))]
+    return float(low - SLACK * (np.median(values) - low))
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: float = 6.0, seed: int = 7) -> Model:
     """rows: (subword ids, shares that sum to 1, language). Every tenth row only calibrates."""
     languages = sorted({y for _, _, y in rows})
     if not languages:
-        return Model([], np.zeros((1, 0)), np.zeros(0))
+        return Model([], np.zeros((1, 1)), np.zeros(0))
     target = {y: k for k, y in enumerate(languages)}
     rng = np.random.default_rng(seed)
     embeddings = rng.normal(0, 0.1, (BUCKETS, WIDTH))
@@ -133,24 +158,29 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: f
             layer -= 0.1 * lr * np.outer(hidden, gap)
             bias -= 0.01 * lr * gap
             embeddings[ids] -= lr * shares[:, None] * back
-    scores = (embeddings @ layer).astype(np.float32)
+    mass = np.zeros(BUCKETS)
+    for ids, shares, _ in train:
+        mass[ids] += shares
+    # Buckets that training texts lack have a twentieth of an even share.
+    even = 0.05 * max(mass.sum(), 1e-9) / BUCKETS
+    scores = np.column_stack((embeddings @ layer, np.log((mass + even) / (mass.sum() + even * BUCKETS)))).astype(np.float32)
     model = Model(languages, scores, bias)
     if held:
-        logits = np.array([shares @ model.scores[ids] + bias for ids, shares, _ in held])
+        every = np.array([shares @ model.scores[ids] for ids, shares, _ in held])
+        logits = every[:, :-1] + bias
         truth = np.array([target[y] for _, _, y in held])
         at = np.arange(len(held))
         loss = {t: -np.log(np.maximum(softmax(logits / t)[at, truth], 1e-12)).mean() for t in np.geomspace(0.2, 5, 25)}
         model.temperature = float(min(loss, key=loss.get))
-        p = softmax(logits / model.temperature)
-        right = np.sort(p.max(1)[p.argmax(1) == truth])
-        if len(right):
-            # No higher than an even split of the mass, so that a hard calibration set cannot turn clean text away.
-            model.threshold = float(min(right[int(MAY_REJECT * len(right))], 1.5 / len(languages), 0.5))
+        right = logits.argmax(1) == truth
+        model.least_margin = _threshold(margins(logits[right] / model.temperature))
+        model.least_familiar = _threshold(every[right, -1])
     return model
 
 
 def train(documents: DataFrame, rows: int = SAMPLE) -> Model:
     """Fits on the labelled documents (text, lang) outside the held-out fold, at most `rows` of them."""
+    bound_batches(documents.sparkSession)
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()
     keys = least(documents.filter(usable).select("doc_id"), rows).distinct()
     picked = documents.filter(usable).select("doc_id", "text", "lang").join(F.broadcast(keys), "doc_id")
@@ -178,24 +208,23 @@ def train(documents: DataFrame, rows: int = SAMPLE) -> Model:
 
 
 def predicted(text: Column, model: Model) -> Column:
-    """struct(lang, score, rejected) of a text column; rejected: the calibrated threshold, or no letter."""
+    """struct(lang, score, rejected) of a text column; rejected: below a calibrated threshold, or no letter."""
 
     @F.arrow_udf("lang string, score double, rejected boolean")
     def language(texts: pa.Array) -> pa.Array:
-        languages, scores = [], [np.zeros(0)]
+        languages, scores, rejected = [], [np.zeros(0)], [np.zeros(0, bool)]
         for _, part in text_slices(texts):
-            found, p = model.predict(part)
+            found, p, out = model.predict(part)
             languages += found
             scores.append(p)
-        scores = np.concatenate(scores)
-        rejected = pa.array([y == UND or p < model.threshold for y, p in zip(languages, scores, strict=True)], pa.bool_())
-        return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(scores), rejected], ["lang", "score", "rejected"])
+            rejected.append(out)
+        return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(rejected))], ["lang", "score", "rejected"])
 
     return language(text)
 
 
 def predictions(documents: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """The contract's row for each document, and whether the calibrated threshold rejects it."""
+    """The contract's row for each document, and whether the calibrated thresholds reject it."""
     model = train(documents, rows)
     seen = documents.select("doc_id", "text").select("doc_id", held_out().alias("held_out"), predicted(F.col("text"), model).alias("p"))
     return seen.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.rejected").alias("rejected"))

@@ -1,20 +1,22 @@
 """MinHash near-duplicates: many universal hash minima with banding, signature verification, connected components.
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes), of which only its size, a 128-bit name and the
-   minima of `bands * rows` universal hashes stay. Texts with one set are one class, named by its least doc_id; from
-   here on only classes meet.
+   minima of `bands * rows` universal hashes stay. Texts with one set are one class, known by that name and by its least
+   doc_id; from here on only classes meet.
 2. Classes that share a band (`rows` minima) are a bucket. All members are paired with the bucket's least class
    (a star, so a bucket of k gives k - 1 pairs), pairs are verified on the signatures and then on the full sets,
    and the links' components are found.
-3. A link that no star holds joins different components that the stars' pairs, verified or not, hold together in one
-   pool. Pools with several components are compared on the full sets: members outside the pool's largest component
-   with all the others. A pool is cut into blocks (BLOCK members, BLOCK_SHINGLES shingles at most, by hash) and each
-   pair of blocks that may hold such a link is one small group, which gives no more links than it joins components.
-   Pools of more than POOL members are replaced by their members' buckets. Copies of one text that the stars have
-   joined are not compared again.
+3. A link that no star holds joins different components that meet in some bucket. Every bucket with several components
+   is compared on the full sets: members outside the bucket's largest component with all the others. A bucket is cut
+   into blocks (BLOCK members, BLOCK_SHINGLES shingles at most, by hash) and each pair of blocks that may hold such a
+   link is one small group, which gives no more links than it joins components. Copies of one text that the stars have
+   joined are not compared again. A bucket of m members, r of them outside its largest component, so sends each member
+   to at most r / BLOCK + m / BLOCK groups: the work of a verified join, in groups of bounded size.
 
 Sets are made again from the text for classes in some pair only, which takes less room than keeping all. `plan` picks
-rows and bands so that a pair at the threshold shares no band with a probability of MISS at most.
+rows and bands so that a pair at the threshold shares no band with a probability of MISS at most; pairs that share one
+are compared exactly, at any bucket size. `linked` leaves one table in the shared folder, its result, which the folder's
+owner empties; all other tables that it writes are deleted.
 
 Cases: null and wordless texts have an empty set and stay alone; a text of fewer words than a shingle has one shingle,
 all its words; texts are read whole; a null doc_id stays alone as its own component (null) and is kept; rows with one
@@ -31,15 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordCache, discard, staged
+from strandline.llm.common import bound_batches, discard, staged
 from strandline.llm.components import components
 from strandline.llm.words import LOWER_ASCII, Words, gathered, splitmix, text_slices
 
 MISS = 1e-6
-#: Members and shingles of a block, members of a pool.
-BLOCK, BLOCK_SHINGLES, POOL = 128, 400_000, 4096
-
-_hashes = WordCache(lambda w: xxhash.xxh3_64_intdigest(w.encode()), limit=300_000)
+#: Members and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 128, 400_000
 
 
 def plan(percent: int, miss: float = MISS) -> tuple[int, int]:
@@ -55,7 +55,7 @@ def plan(percent: int, miss: float = MISS) -> tuple[int, int]:
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of each text, rising, end to end; where each text's start, and the end)."""
     words = Words(texts, LOWER_ASCII)
-    each = np.fromiter((_hashes[w] for w in words.distinct()), np.uint64, len(words.words))
+    each = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.distinct()), np.uint64, len(words.words))
     own = each[words.codes] if len(words.codes) else np.empty(0, np.uint64)
     n = words.counts
     mixed = np.zeros(len(own), np.uint64)
@@ -93,6 +93,11 @@ def signatures(sets: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
+def set_names(sets: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    data = memoryview(sets).cast("B") if len(sets) else b""
+    return [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+
 def _sketches(documents: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
     """doc_id, n (set size), name (of the set), minima (binary) and bands (hashes) of each row."""
 
@@ -102,9 +107,6 @@ def _sketches(documents: DataFrame, width: int, rows: int, bands: int) -> DataFr
             for first, texts in text_slices(batch.column("text")):
                 sets, starts = shingle_sets(texts, width)
                 minima = signatures(sets, starts, rows * bands)
-                names, data = [], sets.tobytes()
-                for i in range(len(texts)):
-                    names.append(xxhash.xxh3_128_digest(data[8 * starts[i] : 8 * starts[i + 1]]))
                 keyed = np.zeros((len(texts), bands), np.uint64)
                 for r in range(rows):
                     keyed = splitmix(keyed * np.uint64(0x9E3779B97F4A7C15) + minima[:, r::rows].astype(np.uint64))
@@ -112,7 +114,7 @@ def _sketches(documents: DataFrame, width: int, rows: int, bands: int) -> DataFr
                     [
                         ids.slice(first, len(texts)),
                         pa.array(np.diff(starts)),
-                        pa.array(names, pa.binary()),
+                        pa.array(set_names(sets, starts), pa.binary()),
                         pa.array([m.tobytes() for m in minima], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(keyed.ravel().view(np.int64))),
                     ],
@@ -123,18 +125,25 @@ def _sketches(documents: DataFrame, width: int, rows: int, bands: int) -> DataFr
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id and set (array of its shingles) of the documents in `wanted` (doc_id)."""
+    """name and set (array of its shingles) of the classes in `wanted` (name, doc_id of one of its rows)."""
 
     def make(batches):
         for batch in batches:
             for first, texts in text_slices(batch.column("text")):
                 sets, starts = shingle_sets(texts, width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64)))], ["doc_id", "set"]
+                    [
+                        batch.column("doc_id").slice(first, len(texts)),
+                        pa.array(set_names(sets, starts), pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(sets.view(np.int64))),
+                    ],
+                    ["doc_id", "name", "set"],
                 )
 
-    some = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    return some.mapInArrow(make, "doc_id long, set array<long>")
+    some = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # Rows that share a doc_id may have other sets; only the wanted ones count, each once.
+    made = some.mapInArrow(make, "doc_id long, name binary, set array<long>")
+    return made.join(wanted.select("doc_id", "name").distinct(), ["doc_id", "name"], "left_semi").dropDuplicates(["name"]).select("name", "set")
 
 
 def _agree(count: int, percent: int) -> Column:
@@ -155,32 +164,32 @@ def _agree(count: int, percent: int) -> Column:
 def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, percent: int, count: int, name: str) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold, as (u, v), staged."""
     spark = pairs.sparkSession
-    side = lambda k: classes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("minima").alias(f"minima_{k}"))
+    side = lambda k: classes.select(F.col("doc_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "name", "minima")])
     sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = staged(sized.filter(_agree(count, percent)).select("a", "b", "n_a", "n_b"), f"{name}-pairs")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(_sets(documents, wanted, width).dropDuplicates(["doc_id"]), f"{name}-sets")
-    of = lambda k: sets.select(F.col("doc_id").alias(k), F.col("set").alias(f"set_{k}"))
+    likely = staged(sized.filter(_agree(count, percent)).select("a", "b", "n_a", "n_b", "name_a", "name_b"), f"{name}-pairs")
+    wanted = likely.select(F.explode(F.array(*[F.struct(F.col(k).alias("doc_id"), F.col(f"name_{k}").alias("name")) for k in "ab"])).alias("w")).select("w.*").distinct()
+    sets = staged(_sets(documents, wanted, width), f"{name}-sets")
+    of = lambda k: sets.select(F.col("name").alias(f"name_{k}"), F.col("set").alias(f"set_{k}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    links = likely.join(of("a"), "a").join(of("b"), "b").filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
-    out = staged(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-links")
+    links = likely.join(of("a"), "name_a").join(of("b"), "name_b").filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
+    out = staged(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-links")
     discard(spark, likely, sets)
     return out
 
 
-def _meets(pooled: DataFrame) -> DataFrame:
-    """(meet, inner, seed, doc_id, component) from members (pool, doc_id, component, n) of pools: `meet` names a pair of
-    blocks, `seed` rows are to be compared with the others, and where `inner` is set with each other too."""
-    parts = pooled.groupBy("pool", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    pools = parts.groupBy("pool").agg(
+def _meets(members: DataFrame) -> DataFrame:
+    """(meet, inner, seed, doc_id, name, component) from members (bucket, doc_id, name, component, n) of buckets: `meet`
+    names a pair of blocks, `seed` rows are to be compared with the others, and where `inner` is set with each other too."""
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    buckets = parts.groupBy("bucket").agg(
         F.max(F.struct("members", "component", "shingles")).alias("core"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles"), F.count("*").alias("parts")
     )
     blocks = lambda m, n: F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
-    sized = pools.filter("parts > 1").select(
-        "pool", F.col("core.component").alias("core"), blocks(F.col("core.members"), F.col("core.shingles")).alias("p"), blocks(F.col("members") - F.col("core.members"), F.col("shingles") - F.col("core.shingles")).alias("q")
+    sized = buckets.filter("parts > 1").select(
+        "bucket", F.col("core.component").alias("core"), blocks(F.col("core.members"), F.col("core.shingles")).alias("p"), blocks(F.col("members") - F.col("core.members"), F.col("shingles") - F.col("core.shingles")).alias("q")
     )
-    here = pooled.join(sized, "pool").withColumn("in_core", F.col("component") == F.col("core"))
-    here = here.withColumn("block", F.pmod(F.xxhash64("doc_id", "pool"), F.when(F.col("in_core"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    here = members.join(sized, "bucket").withColumn("in_core", F.col("component") == F.col("core"))
+    here = here.withColumn("block", F.pmod(F.xxhash64("name", "bucket"), F.when(F.col("in_core"), F.col("p")).otherwise(F.col("q"))).cast("int"))
     with_rest = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("block").alias("i"), j.alias("j"), F.lit(False).alias("seed")))
     with_core = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("seed")))
     among = F.transform(
@@ -189,7 +198,7 @@ def _meets(pooled: DataFrame) -> DataFrame:
     )
     sent = here.withColumn("m", F.explode(F.when(F.col("in_core"), with_rest).otherwise(F.concat(with_core, among))))
     inner = (F.col("m.kind") == 0) & (F.col("m.i") == 0)
-    return sent.select(F.xxhash64("pool", "m.kind", "m.i", "m.j").alias("meet"), inner.alias("inner"), F.col("m.seed").alias("seed"), "doc_id", "component")
+    return sent.select(F.xxhash64("bucket", "m.kind", "m.i", "m.j").alias("meet"), inner.alias("inner"), F.col("m.seed").alias("seed"), "doc_id", "name", "component")
 
 
 def _joining_links(percent: int):
@@ -227,50 +236,53 @@ def _joining_links(percent: int):
 def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n, component) of each row, staged."""
     spark = documents.sparkSession
+    bound_batches(spark)
     rows, bands = plan(percent)
     sketched = staged(_sketches(documents, width, rows, bands), "minhash-sketches")
     # The least doc_id of each set, found with sums that tasks make before the shuffle.
     # Staged, so that the joins on a set with very many copies have two plain exchanges and can be split.
     names = staged(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id")), "minhash-names")
-    classes = staged(
-        sketched.join(names, ["name", "doc_id"]).groupBy("doc_id").agg(F.first("n").alias("n"), F.first("minima").alias("minima"), F.first("bands").alias("bands")), "minhash-classes"
-    )
-    banded = classes.select("doc_id", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "doc_id")
+    classes = staged(sketched.join(names, ["name", "doc_id"]).dropDuplicates(["name"]).select("doc_id", "name", "n", "minima", "bands"), "minhash-classes")
+    banded = classes.select("doc_id", "name", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "doc_id", "name", "n")
     stars = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    pairs = staged(banded.withColumnRenamed("doc_id", "b").join(stars.select("bucket", "a"), "bucket").filter("a != b").select("a", "b").distinct(), "minhash-stars")
+    filed = staged(banded.join(stars.select("bucket", "a"), "bucket"), "minhash-filed")
+    pairs = staged(filed.filter("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "minhash-stars")
     links = _verified(pairs, classes, documents, width, percent, rows * bands, "minhash-star")
     found = components(links, "minhash-found")
 
-    # What the stars leave: pools that hold several components.
-    pools = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "minhash-pools").withColumnsRenamed({"node": "doc_id", "component": "pool"})
-    mine = pools.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mine = mine.join(classes.select("doc_id", "n"), "doc_id").join(pools.groupBy("pool").agg(F.count("*").alias("size")), "pool")
+    # What the stars leave: buckets that hold several components.
+    mine = filed.drop("a").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mine = staged(mine, "minhash-members")
-    by_bucket = mine.filter(F.col("size") > POOL).drop("pool").join(banded.withColumnRenamed("bucket", "pool"), "doc_id")
-    pooled = mine.filter(F.col("size") <= POOL).select("pool", "doc_id", "component", "n").unionByName(by_bucket.select("pool", "doc_id", "component", "n"))
-    meets = staged(_meets(pooled), "minhash-meets")
-    sets = _sets(documents, meets.select("doc_id").distinct(), width).dropDuplicates(["doc_id"])
-    more = meets.join(sets, "doc_id").groupBy("meet").applyInArrow(_joining_links(percent), "u long, v long")
-    more = staged(more, "minhash-more")
-    found_all = components(links.unionByName(more), "minhash-found")
-    result = staged(
-        sketched.select("doc_id", "n", "name").join(names.withColumnRenamed("doc_id", "least"), "name", "left").select("doc_id", "n", F.coalesce("least", "doc_id").alias("least"))
-        .join(found_all.withColumnRenamed("node", "least"), "least", "left").select("doc_id", "n", F.coalesce("component", "least").alias("component")),
-        "minhash-result",
-    )
-    discard(spark, sketched, names, classes, pairs, links, found, mine, meets, more, found_all)
+    meets = staged(_meets(mine), "minhash-meets")
+    sets = _sets(documents, meets.select("doc_id", "name").distinct(), width)
+    more = staged(meets.join(sets, "name").groupBy("meet").applyInArrow(_joining_links(percent), "u long, v long"), "minhash-more")
+
+    # Rows with one doc_id are one document: what their sets are linked with is linked.
+    own = sketched.filter("doc_id IS NOT NULL").select("doc_id", "n", "name").join(names.select("name", F.col("doc_id").alias("least")), "name", "left")
+    own = staged(own.select("doc_id", "n", F.coalesce("least", "doc_id").alias("least")), "minhash-rows")
+    bonds = own.filter("doc_id != least").select("doc_id", "least")
+    repeated = sketched.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    bonds = bonds.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    found_all = components(links.unionByName(more).unionByName(bonds), "minhash-found")
+    known = own.join(found_all.withColumnRenamed("node", "least"), "least", "left").select("doc_id", "n", F.coalesce("component", "least").alias("component"))
+    nameless = sketched.filter("doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component"))
+    result = staged(known.unionByName(nameless), "minhash-result")
+    discard(spark, sketched, names, classes, filed, pairs, links, found, mine, meets, more, own, found_all)
     return result
 
 
 def clusters(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable) and kept for each row of documents (doc_id, text)."""
     result = linked(documents.select("doc_id", "text"), width, percent)
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
+    return result.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
 
 
 def kept(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, that are the least of their component (rows of one doc_id stay together)."""
-    out = clusters(documents, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(out, documents["doc_id"].cast("long") == out["_gone"], "left_anti")
+    """The documents, all columns, that are the least of their component (rows of one doc_id stay together, a null one stays)."""
+    gone = "_gone"
+    while gone in documents.columns:
+        gone += "_"
+    out = clusters(documents, width, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return documents.join(out, documents["doc_id"].cast("long") == out[gone], "left_anti")

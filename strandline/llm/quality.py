@@ -1,14 +1,17 @@
 """Quality: ordinal cumulative-link regression on graded ratings.
 
 P(grade > k) = sigmoid(score - threshold k) with one score for all grades: hashed-text weights (words, word shapes
-and endings, averaged over the text) plus weights of a few text-wide buckets, and thresholds in rising order. The
-weights come from a bounded sample (SAMPLE labelled rows) by full-batch gradient steps in numpy. Each document gets
-its expected grade and the tail probability P(grade >= least) by which it is selected.
+and endings, averaged over the text; words that the text has at all, most of whose weights L1 sets to zero) plus weights
+of a few text-wide buckets, and thresholds in rising order. The averages tell bad text from good, whose toxic part is a
+few words only: those move the score by being there, which sets the middle grade apart. The weights come from a bounded
+sample (SAMPLE labelled rows) by full-batch gradient steps in numpy. Each document gets its expected grade and the tail
+probability P(grade >= least) by which it is selected.
 
 Cases: a null text is an empty one, which has only the empty text's bucket; texts are scored whole; rows are
 independent; an empty table gives an empty result; without a rated row (or with one grade alone) nothing can be told
 apart: the tail probability is that grade's share (1 without any) and nothing is rejected; rows with a null rating
-are not learned from; other columns pass through.
+are not learned from; a doc_id with several labels has the worst grade of them, one with several texts the least text;
+other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordCache, latest
+from strandline.llm.common import WordCache, bound_batches, held
 from strandline.llm.labelled import sample
 from strandline.llm.words import Words, text_slices
 
@@ -52,15 +55,24 @@ def shape(word: str) -> str:
 
 
 def word_features(word: str) -> list[int]:
+    """Three buckets that are averaged over a text, and one, from BUCKETS on, that counts once in it."""
     core = word.strip(".,;:!?\"'()").lower()
-    return [_bucket(f"w {core}"), _bucket(f"s {shape(word)}"), _bucket(f"e {core[-3:]}")]
+    own = _bucket(f"w {core}")
+    return [own, _bucket(f"s {shape(word)}"), _bucket(f"e {core[-3:]}"), BUCKETS + own]
 
 
-def text_features(words: Words, texts: pa.Array) -> np.ndarray:
-    """Buckets of each text as a whole: how many words, how often they repeat, how long they are."""
+def held_once(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number of the word) of each distinct word of each text."""
+    n = max(1, len(words.words))
+    pairs = np.unique(words.docs.astype(np.int64) * n + words.codes)
+    return pairs // n, pairs % n
+
+
+def text_features(words: Words, once: np.ndarray) -> np.ndarray:
+    """Buckets of each text as a whole: how many words, how often they repeat, how long they are. once: the text of each
+    distinct word."""
     n = words.counts
-    pairs = np.unique(words.docs.astype(np.int64) * max(1, len(words.words)) + words.codes)
-    distinct = np.bincount(pairs // max(1, len(words.words)), minlength=len(n))
+    distinct = np.bincount(once, minlength=len(n))
     size = np.minimum(np.log2(np.maximum(n, 1)).astype(int), 16)
     fresh = (10 * distinct / np.maximum(n, 1)).astype(int)
     chars = np.array([len(w) for w in words.distinct()], np.float64)
@@ -74,27 +86,41 @@ def text_features(words: Words, texts: pa.Array) -> np.ndarray:
 @dataclass
 class Model:
     name: str
-    weights: np.ndarray
+    weights: np.ndarray  # of averaged buckets, then of those that count once
     thresholds: np.ndarray  # rising; grade > k has the k-th
     grades: list[int]
 
+    def word(self, word: str) -> complex:
+        """What a word adds: to the average, and by being there."""
+        *average, once = word_features(word)
+        return complex(self.weights[average].sum(), self.weights[once])
+
     def scores(self, texts: pa.Array) -> np.ndarray:
         words = Words(texts)
-        cache = latest("quality", self.name, lambda: WordCache(lambda w: float(self.weights[word_features(w)].sum()), limit=300_000))
-        each = np.array([cache[w] for w in words.distinct()], np.float64)
-        mean = words.sums(each) / np.maximum(words.counts, 1) if len(each) else np.zeros(len(texts))
-        return mean + self.weights[text_features(words, texts)].sum(1)
+        cache = held(self.name, lambda: WordCache(self.word))
+        names = words.distinct()
+        each = np.fromiter((cache[w] for w in names), np.complex128, len(names))
+        docs, which = held_once(words)
+        mean = words.sums(each.real) / np.maximum(words.counts, 1) if len(each) else np.zeros(len(texts))
+        # Words that differ in capitals and signs only share a bucket; it counts once.
+        some = each.imag[which] != 0
+        buckets = {k: word_features(names[k])[-1] for k in np.unique(which[some]).tolist()}
+        pairs = np.unique(np.array([(d, buckets[k]) for d, k in zip(docs[some].tolist(), which[some].tolist(), strict=True)], np.int64).reshape(-1, 2), axis=0)
+        there = np.bincount(pairs[:, 0], weights=self.weights[pairs[:, 1]], minlength=len(texts))
+        return mean + there + self.weights[text_features(words, docs)].sum(1)
 
     def tails(self, texts: pa.Array) -> np.ndarray:
         """P(grade > k) for each text and threshold."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - self.scores(texts)[:, None], -500, 500)))
 
 
-def fit(columns: np.ndarray, rows: np.ndarray, values: np.ndarray, grades: np.ndarray, steps: int = 150, rate: float = 0.15, decay: float = 1e-4) -> Model:
-    """columns, rows, values: the sparse features of text `rows`; grades: the rating of each text. Adam on the mean log-likelihood."""
+def fit(columns: np.ndarray, rows: np.ndarray, values: np.ndarray, grades: np.ndarray, steps: int = 200, rate: float = 0.15, decay: float = 1e-4, l1: float = 0.004, rare: int = 8) -> Model:
+    """columns, rows, values: the sparse features of text `rows`; grades: the rating of each text. Adam on the mean
+    log-likelihood; weights of words that count once move at a third of the rate, under L1, and are 0 where fewer than
+    `rare` texts have the word."""
     known = sorted(set(grades.tolist()))
     name = f"quality-{len(grades)}-{zlib.crc32(columns.tobytes())}-{zlib.crc32(grades.tobytes())}"
-    weights = np.zeros(BUCKETS)
+    weights = np.zeros(2 * BUCKETS)
     if len(known) < 2:
         return Model(name, weights, np.zeros(0), known)
     y = np.searchsorted(known, grades)
@@ -102,8 +128,12 @@ def fit(columns: np.ndarray, rows: np.ndarray, values: np.ndarray, grades: np.nd
     thresholds = np.maximum.accumulate(-np.log(above / (1 - above)))
     # Thresholds are the first and positive steps, so that they stay in order.
     first, gaps = thresholds[0], np.log(np.maximum(np.diff(thresholds), 1e-2))
-    used, at = np.unique(columns, return_inverse=True)
+    some = (columns < BUCKETS) | (np.bincount(columns, minlength=2 * BUCKETS)[columns] >= rare)
+    rows, values = rows[some], values[some]
+    used, at = np.unique(columns[some], return_inverse=True)
     w, n = np.zeros(len(used)), len(y)
+    once = used >= BUCKETS
+    rates = np.where(once, rate / 3, rate)
     state = [[np.zeros_like(np.atleast_1d(x)), np.zeros_like(np.atleast_1d(x))] for x in (w, first, gaps)]
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for step in range(1, steps + 1):
@@ -116,25 +146,30 @@ def fit(columns: np.ndarray, rows: np.ndarray, values: np.ndarray, grades: np.nd
         g_s = (d_hi - d_lo) / n
         g_t = np.array([(d_lo[y == k + 1].sum() - d_hi[y == k].sum()) / n for k in range(len(thresholds))])
         g_gaps = np.array([g_t[k + 1 :].sum() for k in range(len(gaps))]) * np.exp(gaps)
-        grads = (np.bincount(at, weights=values * g_s[rows], minlength=len(used)) + decay * w, np.array([g_t.sum()]), g_gaps)
+        g_w = np.bincount(at, weights=values * g_s[rows], minlength=len(used)) + decay * w
+        g_w = np.where(once, np.where(w != 0, g_w + l1 * np.sign(w), np.sign(g_w) * np.maximum(np.abs(g_w) - l1, 0)), g_w)
+        grads = (g_w, np.array([g_t.sum()]), g_gaps)
         moves = []
         for (m, v), g in zip(state, grads, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            moves.append(rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-        w, first, gaps = w - moves[0], first - moves[1][0], gaps - moves[2]
+            moves.append((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
+        moved = w - rates * moves[0]
+        w = np.where(once & (w * moved < 0), 0, moved)  # L1 stops a weight at 0
+        first, gaps = first - rate * moves[1][0], gaps - rate * moves[2]
     weights[used] = w
     return Model(name, weights, first + np.concatenate(([0], np.cumsum(np.exp(gaps)))), known)
 
 
 def grade(quality: Column, toxic: Column) -> Column:
-    """The rating: 0 for low quality, 1 for good but toxic, 2 for good."""
+    """How fit for training a document was rated: 0 where its quality is low, 1 where it is good but for toxic words, 2 where it is good."""
     return F.when(quality == 0, 0).when(toxic == 1, 1).otherwise(2)
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     """Fits on at most `rows` rated documents outside the held-out fold, drawn by hash alone so that shares of grades stay."""
-    rated = labels.filter(F.col("quality").isNotNull()).select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    bound_batches(documents.sparkSession)
+    rated = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(grade(F.col("quality"), F.col("toxic"))).alias("grade"))
 
     def features(batches):
         for batch in batches:
@@ -142,14 +177,14 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
             ids = batch.column("doc_id").to_pylist()
             for first, texts in text_slices(batch.column("text")):
                 words = Words(texts)
-                each = np.array([word_features(w) for w in words.distinct()], np.int64).reshape(-1, 3)
-                wide = text_features(words, texts)
+                each = np.array([word_features(w) for w in words.distinct()], np.int64).reshape(-1, 4)
+                wide = text_features(words, held_once(words)[0])
                 out = []
                 for i in range(len(texts)):
-                    own = each[words.codes[words.starts[i] : words.starts[i + 1]]].ravel()
-                    cols, count = np.unique(own, return_counts=True)
-                    share = count / max(1, len(own) // 3)
-                    out.append((np.concatenate((cols, wide[i])).astype(np.int32), np.concatenate((share, np.ones(wide.shape[1]))).astype(np.float32)))
+                    own = each[words.codes[words.starts[i] : words.starts[i + 1]]]
+                    cols, count = np.unique(own[:, :3], return_counts=True)
+                    whole = np.concatenate((np.unique(own[:, 3]), wide[i]))
+                    out.append((np.concatenate((cols, whole)).astype(np.int32), np.concatenate((count / max(1, len(own)), np.ones(len(whole)))).astype(np.float32)))
                 to = first + len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[first:to], pa.int64()), pa.array(grades[first:to], pa.int32()), pa.array([c for c, _ in out], pa.list_(pa.int32())), pa.array([v for _, v in out], pa.list_(pa.float32()))],
@@ -158,7 +193,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
 
     table = sample(documents, rated, [(rows, F.lit(True))]).select("doc_id", "grade", "text").mapInArrow(features, "doc_id long, grade int, cols array<int>, vals array<float>").toArrow().combine_chunks().sort_by("doc_id")
     if not len(table):
-        return Model("quality-none", np.zeros(BUCKETS), np.zeros(0), [])
+        return Model("quality-none", np.zeros(2 * BUCKETS), np.zeros(0), [])
     cols, vals = table["cols"].combine_chunks(), table["vals"].combine_chunks()
     lengths = cols.value_lengths().to_numpy(zero_copy_only=False)
     return fit(cols.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(table)), lengths), vals.flatten().to_numpy().astype(np.float64), table["grade"].to_numpy())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordCache, latest
+from strandline.llm.common import WordCache, bound_batches, held
 from strandline.llm.labelled import held_out, sample
 from strandline.llm.words import Words, text_slices
 
@@ -220,7 +220,7 @@ class Scorer:
     def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature) of each feature of each text, once."""
         words = Words(texts)
-        token_cache, run_cache = latest("toxicity", self.name, lambda: (WordCache(lambda t: self.known(self.restored(t)), limit=300_000), WordCache(lambda r: self.known(self.spaced(r)), limit=20_000)))
+        token_cache, run_cache = held(self.name, lambda: (WordCache(lambda t: self.known(self.restored(t))), WordCache(lambda r: self.known(self.spaced(r)), limit=4 << 20)))
         names = words.distinct()
         each = [token_cache[w] for w in names]
         some = np.fromiter((bool(e) for e in each), bool, len(each))
@@ -311,7 +311,8 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 8, alpha: float
 
 def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, other_rows: int = OTHER) -> Scorer:
     """Fits on at most so many toxic and other documents outside the held-out fold."""
-    known = labels.filter(F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    bound_batches(documents.sparkSession)
+    known = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in known.filter(~held_out()).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_other = shares.get(1, 0), shares.get(0, 0)
     chars = char_model(documents)

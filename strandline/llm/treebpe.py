@@ -1,21 +1,21 @@
 """BPE encoding and decoding by tree concatenation.
 
-The pre-tokenizer splits most text into short pieces, which a worker encodes once each and keeps. A piece that it
-leaves unsplit (letters, digits, signs or blanks without end) would take one long run of merges. Its leaves are
-encoded in one parallel batch instead, then neighbours are joined level by level: the tokens around a join are
+The pre-tokenizer splits most text into short pieces, which a worker cuts from the bytes of many texts at once, encodes
+once each and keeps. A piece that it leaves unsplit (letters, digits, signs or blanks without end) would take one long
+run of merges. Its leaves are encoded in one parallel batch instead, then neighbours are joined level by level: the tokens around a join are
 re-encoded in a window that grows until its first and last token are those that were there already. A sequence of
 BPE tokens is the encoding of its text exactly if each adjacent pair is the encoding of the pair's text, so the
 tokens outside such a window stand and the result equals that of one run over the whole piece.
 
 Cases: a null text is an empty one and has no ids; texts may be of any length; rows are independent, so ties,
-repeated rows and empty tables need no rule; other columns pass through untouched.
+repeated rows and empty tables need no rule; other columns pass through untouched (`with_tokens` refuses names that are
+taken).
 """
 
 from __future__ import annotations
 
 import json
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordCache, tokenizer_path
-from strandline.llm.words import SLICE_BYTES, Words, gathered, text_slices
+from strandline.llm.common import bound_batches, held, tokenizer_path
+from strandline.llm.words import SLICE_BYTES, PieceCache, Pieces, odd_texts, taken, text_slices
 
 #: A piece of more bytes than this is joined from leaves of this many.
 LEAF = 256
-#: Blanks that the pre-tokenizer and Python both take as such; text is cut before one that follows a non-blank.
+#: Odd text is cut into pieces in runs of about as many characters, each before a blank (for the pre-tokenizer and Python
+#: alike) that follows a non-blank.
+RUN = 1 << 16
 _cut = re.compile(r"(?<=\S)(?=[ \n\t\r])")
-#: Over ASCII and the letters of Latin-1 (`plain_text`), Python's classes and the pre-tokenizer's agree, and this is its pattern.
-PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
-plain_text = re.compile(rf"[\t\n\r -~{PLAIN}]*")
-_pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{PLAIN}]+| ?[0-9]+| ?[^\s0-9{PLAIN}]+|\s+(?!\S)|\s+")
-_engines: dict[str, TreeBpe] = {}
 
 
 def byte_alphabet() -> list[str]:
@@ -72,35 +69,34 @@ class TreeBpe:
         self.specials = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         # The pattern above is for this pre-tokenizer; with another, the library cuts every text.
         self.patterned = self.full.normalizer is None and _pre_tokenizer_of(self.full) == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        self.pieces = WordCache(self.piece)
-        self.table = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pieces = PieceCache(self.piece)
+        self.table = pa.array([self.bytes.get(i, b"") for i in range(max(self.bytes, default=-1) + 1)], pa.binary())
 
     @classmethod
     def of(cls, name: str) -> TreeBpe:
-        if name not in _engines:
-            _engines[name] = cls(tokenizer_path(name))
-        return _engines[name]
+        return held(f"tree {name}", lambda: cls(tokenizer_path(name)))
 
     def mapped(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(self.alphabet)
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> list[int]:
         """The ids of one piece of plain text that the pre-tokenizer leaves whole."""
-        part = self.mapped(text)
-        return tuple(self.tree(part)) if len(part) > self.leaf else tuple([t.id for t in self.model.tokenize(part)])
+        # Of printable ASCII only the space has another character in the byte alphabet.
+        part = text.replace(" ", self.alphabet[32]) if text.isascii() and text.isprintable() else self.mapped(text)
+        return self.tree(part) if len(part) > self.leaf else [t.id for t in self.model.tokenize(part)]
 
-    def chunk(self, text: str) -> list[int] | tuple[int, ...]:
+    def chunk(self, text: str) -> list[int]:
         """The ids of a text without added tokens."""
-        if self.patterned and plain_text.fullmatch(text):
-            parts = _pieces.findall(text)
-            if len(parts) == 1:
-                return self.pieces[text]
-            return [i for p in parts for i in self.pieces[p]]
         if len(text) <= self.leaf:
             return self.full.encode(text, add_special_tokens=False).ids
         ids: list[int] = []
-        for part, _ in self.full.pre_tokenizer.pre_tokenize_str(text):
-            ids += self.tree(part) if len(part) > self.leaf else [t.id for t in self.model.tokenize(part)]
+        at = 0
+        while at < len(text):
+            cut = _cut.search(text, at + RUN)
+            to = cut.start() if cut else len(text)
+            for part, _ in self.full.pre_tokenizer.pre_tokenize_str(text[at:to]):
+                ids += self.tree(part) if len(part) > self.leaf else [t.id for t in self.model.tokenize(part)]
+            at = to
         return ids
 
     def run(self, part: list[str]) -> list[list[int]]:
@@ -141,40 +137,20 @@ class TreeBpe:
             if segment in self.added:
                 ids.append(self.added[segment])
             elif segment:
-                for x in _cut.split(segment):
-                    ids += self.chunk(x)
+                ids += self.chunk(segment)
         return np.array(ids, np.uint32)
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, start of each text's and the end) of texts without nulls."""
-        odd = np.fromiter((self.is_odd(t) for t in texts.to_pylist()), bool, len(texts))
-        words = Words(texts, single_space=True)
-        # The first word of a text has no blank before it: it gets a code of its own, after those of the others.
-        codes = words.codes.astype(np.int64)
-        names = words.distinct()
-        head = words.starts[:-1]
-        first, heads = np.unique(codes[head], return_inverse=True) if len(head) else (head, head)
-        later = np.ones(len(codes), bool)
-        later[head] = False
-        used = np.bincount(codes[later], minlength=len(names)).astype(bool).tolist()
-        parts = [self.chunk(" " + w) if u else () for w, u in zip(names, used, strict=True)]
-        parts += [self.chunk(names[c]) for c in first]
-        codes[head] = len(names) + heads
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        lengths_of = lengths[codes]
-        flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(lengths.sum()))
-        ids = gathered(flat, np.cumsum(lengths) - lengths, lengths, codes)
-        starts = np.concatenate(([0], np.cumsum(lengths_of)))[words.starts]
-        if not odd.any():
-            return ids, starts
-        pieces = [self.encode(texts[i].as_py()) if odd[i] else ids[starts[i] : starts[i + 1]] for i in range(len(texts))]
-        return np.concatenate(pieces), np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-
-    _blank_run = re.compile(r"\s ")
-
-    def is_odd(self, text: str) -> bool:
-        """Whether cutting before every single blank could change the pre-tokenizer's pieces."""
-        return not self.plain_added or bool(self._blank_run.search(text)) or text.endswith(" ") or bool(self.specials and self.specials.search(text))
+        if not (self.plain_added and self.patterned):
+            return joined([self.encode(t) for t in texts.to_pylist()])
+        odd = odd_texts(texts, list(self.added))
+        if odd.any():
+            plain = iter(slices(*self.encode_batch(texts.filter(pa.array(~odd)))))
+            return joined([self.encode(texts[i].as_py()) if o else next(plain) for i, o in enumerate(odd.tolist())])
+        cut = Pieces(texts, joined=True)
+        data, starts = taken(self.pieces(cut.pieces), cut.codes)
+        return data.view("<u4"), starts[cut.starts] // 4
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are not UTF-8 become replacement characters, as in the library."""
@@ -182,12 +158,8 @@ class TreeBpe:
 
     def decode_batch(self, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
         """The texts of ids end to end; `starts` has where each text's begin, and the end."""
-        if not len(self.table[0]):
-            top = max(self.bytes) + 1
-            lengths = np.array([len(self.bytes.get(i, b"")) for i in range(top)], np.int64)
-            self.table = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(top)), np.uint8), np.cumsum(lengths) - lengths, lengths
-        data = gathered(*self.table, ids)
-        at = np.concatenate(([0], np.cumsum(self.table[2][ids])))[starts]
+        data, at = taken(self.table, pa.array(ids.astype(np.int32)))
+        at = at[starts]
         try:
             data.tobytes().decode()
             whole = not ((data[at[:-1][at[:-1] < len(data)]] & 0xC0) == 0x80).any()
@@ -198,6 +170,15 @@ class TreeBpe:
         return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
 
 
+def slices(ids: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    return [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+def joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the parts end to end, start of each and the end)."""
+    return np.concatenate([np.empty(0, np.uint32), *parts]).astype(np.uint32), np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64)))
+
+
 def encode(text: Column, vocabulary: str = "byte_bpe_50k.json") -> Column:
     """The ids of a text column as little-endian unsigned 32-bit integers in a binary."""
 
@@ -237,7 +218,11 @@ def decode(ids: Column, vocabulary: str = "byte_bpe_50k.json") -> Column:
 
 
 def with_tokens(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """`df` with its texts' ids and (unless None) the text that these decode to."""
+    """`df` with its texts' ids and (unless None) the text that these decode to. A column of `df` that has one of these
+    names already is an error: give another name."""
+    if clash := {c.lower() for c in df.columns} & {ids.lower(), (decoded or ids).lower()}:
+        raise ValueError(f"the table has columns {sorted(clash)}; name the new ones otherwise")
+    bound_batches(df.sparkSession)
     df = df.withColumn(ids, encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), vocabulary))
     return df if decoded is None else df.withColumn(decoded, decode(F.col(f"`{ids}`"), vocabulary))
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 from strandline.llm import components, decontam, hilbert, langid, minhash, quality, spotsigs, toxicity, treebpe, urllists, wavelet
 from strandline.llm.common import tokenizer_path
+from strandline.llm.labelled import held_out
+from strandline.llm.words import Words
 
 WORDS = "the of and river stone house light paper green water small bridge over under night day".split()
 
@@ -154,11 +158,14 @@ def brute_components(rows, width, percent):
             x = parent[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
+    holders = {}
+    for k in sorted(sets):
+        for x in sets[k]:
+            holders.setdefault(x, []).append(k)
+    for a, b in {(min(p), max(p)) for ks in holders.values() for p in combinations(ks, 2)}:
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
     return {k: (len(sets[k]), root(k)) for k in sets}
 
 
@@ -183,20 +190,39 @@ def test_minhash_equals_brute_force(spark):
     assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(k for k, (_, c) in expected.items() if k == c)
 
 
-def test_minhash_large_buckets(spark, monkeypatch):
+def test_minhash_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
-    monkeypatch.setattr(minhash, "POOL", 8)
     test_minhash_equals_brute_force(spark)
 
 
 def test_minhash_edges(spark, empty):
     assert minhash.clusters(empty).count() == 0
-    odd = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, "")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in minhash.clusters(odd).collect())[1:] == [(1, 1, True), (2, 2, True), (3, 3, True)]
+    odd = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None), (3, ""), (None, None)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.clusters(odd).collect()), key=str)
+    assert got == [(1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True), (None, 0, None, True), (None, 2, None, True)]
+    assert minhash.kept(odd).count() == 5
     rows, bands = minhash.plan(80)
     assert (1 - 0.8**rows) ** bands <= minhash.MISS
 
 
+def test_minhash_repeated_ids(spark):
+    """One doc_id with several texts is one document: (1, A) and (1, B) join what resembles A with what resembles B."""
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "ABCD"}
+    near = {k: t + " end" for k, t in text.items()}
+    rows = [(1, text["A"]), (1, text["B"]), (3, near["A"]), (4, near["B"]), (2, text["C"]), (7, text["C"]), (7, text["D"]), (9, near["D"]), (0, text["D"]), (5, None), (5, near["C"]), (8, "alone here")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        assert {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.clusters(df).collect()} == {(1, 1, True), (3, 1, False), (4, 1, False), (0, 0, True), (2, 0, False), (7, 0, False), (9, 0, False), (5, 0, False), (8, 8, True)}
+
+
+def test_minhash_recall(spark):
+    """Every document of a table of the driver against brute force over all pairs that share a shingle."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    for width, percent in ((3, 85), (5, 80)):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.clusters(df, width, percent).collect()}
+        assert got == {k: c for k, (_, c) in brute_components([tuple(r) for r in df.collect()], width, percent).items()}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)] + [(500, k) for k in range(501, 560)] + [(7, 7), (1, 0)]
@@ -323,6 +349,56 @@ def test_language_held_out(corpus):
     assert (p["lang"] == p["lang_pred"]).mean() > 0.97 and p["rejected"].mean() < 0.02 and p["score"].between(0, 1).all()
 
 
+def test_language_rejects_what_it_did_not_learn(corpus):
+    docs, _ = corpus
+    known, other = docs.filter("lang != 'de'"), docs.filter("lang = 'de'")
+    model = langid.train(known)
+    told = lambda df: model.predict(pa.array([r["text"] for r in df.collect()]))[2].mean()
+    assert told(other) > 0.9 and told(known) < 0.02
+    words = ["wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "все люди рождаются свободными и равными", "xq zzkw vvq jjx qpw kzzx"]
+    assert model.predict(pa.array(words))[2].all()
+
+
+def plain_language(model, text):
+    """The definition: the average over all subwords of all words, one by one."""
+    found = np.concatenate([np.empty(0, np.int32), *(ids for w in text.split() for ids, _ in langid.subwords([w]))])
+    if not len(found):
+        return langid.UND, 0.0
+    x = (sum(model.scores[i, :-1].astype(float) for i in found) / len(found) + model.bias) / model.temperature
+    p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    return model.languages[int(p.argmax())], float(p.max())
+
+
+def test_language_equals_plain_average(corpus):
+    docs, _ = corpus
+    model = langid.train(docs)
+    texts = [t for t in some_texts() if t is not None]
+    languages, p, _ = model.predict(pa.array(texts))
+    for text, y, q in zip(texts, languages, p, strict=True):
+        assert (y, pytest.approx(q, abs=1e-5)) == plain_language(model, text)
+
+
+def test_subwords():
+    """Pieces of 2 to 4 characters of a run of letters between two marks (but the whole of that), and the run: as many as
+    the definition has, equal for equal pieces only."""
+
+    def pieces(word):
+        out = []
+        for run in re.findall(r"[^\W\d_]+", word.lower()):
+            marked = f"<{run}>"
+            out += [marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1) if n < len(marked)] + [f"whole {run}"]
+        return out
+
+    names = {}
+    for word in ["The", "then", "été", "a", "x1yy2", "...", "nth", "Ünï"]:
+        ids = np.concatenate([i for i, _ in langid.subwords([word])]).tolist()
+        assert len(ids) == len(pieces(word))
+        for n, i in zip(sorted(Counter(pieces(word)).values()), sorted(Counter(ids).values()), strict=True):
+            assert n == i
+        names[word] = set(ids)
+    assert len(names["The"] & names["then"]) >= 3 and not names["a"] & names["Ünï"]
+
+
 def test_language_edges(spark, docs, empty):
     got = {r["doc_id"]: r for r in langid.predictions(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("xx"))).collect()}
     assert got[0]["lang_pred"] == got[3]["lang_pred"] == langid.UND and got[0]["rejected"]
@@ -338,6 +414,29 @@ def test_quality_held_out(corpus):
     assert q["expected_grade"].between(0, 2).all()
 
 
+def test_quality_grades_rise(spark):
+    """On held-out documents each grade has a higher expected grade than the one below."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rated = quality.ratings(docs, labels).join(labels, "doc_id").withColumn("grade", quality.grade(F.col("quality"), F.col("toxic")))
+    means = [r["m"] for r in rated.filter(held_out()).groupBy("grade").agg(F.avg("expected_grade").alias("m")).orderBy("grade").collect()]
+    assert len(means) == 3 and means[1] - means[0] > 0.8 and means[2] - means[1] > 0.2
+
+
+def test_quality_equals_plain_score():
+    """The definition, text by text: averages over words, buckets that are there, and the ordinal curve."""
+    rng = np.random.default_rng(3)
+    model = quality.Model("plain-test", rng.normal(0, 1, 2 * quality.BUCKETS) * (rng.random(2 * quality.BUCKETS) < 0.5), np.array([-1.0, 0.5]), [0, 1, 2])
+    texts = [t for t in some_texts() if t is not None] + ["The the THE. 'the' a a", "x1 Y2!"]
+    tails = model.tails(pa.array(texts))
+    for text, tail in zip(texts, tails, strict=True):
+        words = text.split()
+        every = [quality.word_features(w) for w in words]
+        score = sum(model.weights[f] for x in every for f in x[:3]) / max(1, len(words)) + sum(model.weights[f] for f in {x[3] for x in every})
+        score += model.weights[quality.text_features(Words(pa.array([text])), np.zeros(len(set(words)), int))].sum()
+        assert tail == pytest.approx([1 / (1 + np.exp(t - score)) for t in model.thresholds])
+
+
 def test_quality_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(k * 3, 1, 0) for k in range(9)] + [(30, None, None)], "doc_id long, quality int, toxic int")
@@ -350,6 +449,8 @@ def test_ordinal_thresholds_rise():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 3, 300)
     model = quality.fit(x + 10, np.arange(300), np.ones(300), np.clip(x + (rng.random(300) < 0.1), 0, 2))
+    there = quality.fit(x + 10 + quality.BUCKETS, np.arange(300), np.ones(300), x)
+    assert there.weights[10 + quality.BUCKETS] < there.weights[12 + quality.BUCKETS]
     assert (np.diff(model.thresholds) > 0).all() and model.weights[10] < model.weights[11] < model.weights[12]
 
 
