@@ -3,6 +3,10 @@
 Rejected by quality, then by language, then all but one of each group of near-duplicates, then contaminated documents
 leave; the rest is encoded. Each stage learns and counts over its own input only; labels and benchmark come from the
 folder of the tables.
+
+Cases: each operator's docstring has its rules for nulls, empty and long texts, ties and repeated rows; an empty table
+gives an empty result of the same columns; columns beyond doc_id and text are optional, pass through all stages but the
+last and are left out there but for lang and source, so that none can clash with its new ones.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontam, langid, minhash, quality, treebpe
-from strandline.llm.common import new_path
+from strandline.llm.common import discard, new_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +40,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit integers), their number, and whether they decode to the text."""
-    tokens = treebpe.with_tokens(docs)
+    own = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    tokens = treebpe.with_tokens(docs.select(*own, "text"))
     return tokens.select(
-        "doc_id", "lang", "source", "ids", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+        *own, "ids", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
     )
 
 
@@ -55,10 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; each one's result is written as Parquet to the shared folder and read again. A stage's
+    input goes when its result is written; the last result stays in a folder of its own, for the caller to empty."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        discard(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return docs
