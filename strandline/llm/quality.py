@@ -129,16 +129,24 @@ def fit(columns: np.ndarray, rows: np.ndarray, values: np.ndarray, grades: np.nd
     # Thresholds are the first and positive steps, so that they stay in order.
     first, gaps = thresholds[0], np.log(np.maximum(np.diff(thresholds), 1e-2))
     some = (columns < BUCKETS) | (np.bincount(columns, minlength=2 * BUCKETS)[columns] >= rare)
-    rows, values = rows[some], values[some]
-    used, at = np.unique(columns[some], return_inverse=True)
-    w, n = np.zeros(len(used)), len(y)
+    columns, rows, values = columns[some], rows[some].astype(np.int32), values[some].astype(np.float32)
+    used, n = np.unique(columns), len(y)
+    at, w = np.searchsorted(used, columns).astype(np.int32), np.zeros(len(used))
+    # The features twice, by text and by column, so that both products are sums over runs; a text or column has some.
+    by_row = np.argsort(rows, kind="stable").astype(np.int32) if (np.diff(rows) < 0).any() else slice(None)
+    by_column = np.argsort(at, kind="stable").astype(np.int32)
+    text_at, text_values, texts = at[by_row], values[by_row], np.unique(rows)
+    text_starts = np.searchsorted(rows[by_row], texts)
+    column_rows, column_values, column_starts = rows[by_column], values[by_column], np.searchsorted(at[by_column], np.arange(len(used)))
+    del columns, rows, values, at, some, by_row, by_column
     once = used >= BUCKETS
     rates = np.where(once, rate / 3, rate)
     state = [[np.zeros_like(np.atleast_1d(x)), np.zeros_like(np.atleast_1d(x))] for x in (w, first, gaps)]
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for step in range(1, steps + 1):
         thresholds = first + np.concatenate(([0], np.cumsum(np.exp(gaps))))
-        s = np.bincount(rows, weights=values * w[at], minlength=n)
+        s = np.zeros(n)
+        s[texts] = np.add.reduceat(text_values * w.astype(np.float32)[text_at], text_starts)
         cut = np.concatenate(([-np.inf], thresholds, [np.inf]))
         hi, lo = sig(cut[y + 1] - s), sig(cut[y] - s)
         p = np.maximum(hi - lo, 1e-9)
@@ -146,7 +154,7 @@ def fit(columns: np.ndarray, rows: np.ndarray, values: np.ndarray, grades: np.nd
         g_s = (d_hi - d_lo) / n
         g_t = np.array([(d_lo[y == k + 1].sum() - d_hi[y == k].sum()) / n for k in range(len(thresholds))])
         g_gaps = np.array([g_t[k + 1 :].sum() for k in range(len(gaps))]) * np.exp(gaps)
-        g_w = np.bincount(at, weights=values * g_s[rows], minlength=len(used)) + decay * w
+        g_w = np.add.reduceat(column_values * g_s.astype(np.float32)[column_rows], column_starts) + decay * w
         g_w = np.where(once, np.where(w != 0, g_w + l1 * np.sign(w), np.sign(g_w) * np.maximum(np.abs(g_w) - l1, 0)), g_w)
         grads = (g_w, np.array([g_t.sum()]), g_gaps)
         moves = []
@@ -196,7 +204,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
         return Model("quality-none", np.zeros(2 * BUCKETS), np.zeros(0), [])
     cols, vals = table["cols"].combine_chunks(), table["vals"].combine_chunks()
     lengths = cols.value_lengths().to_numpy(zero_copy_only=False)
-    return fit(cols.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(table)), lengths), vals.flatten().to_numpy().astype(np.float64), table["grade"].to_numpy())
+    return fit(cols.flatten().to_numpy(), np.repeat(np.arange(len(table), dtype=np.int32), lengths), vals.flatten().to_numpy(), table["grade"].to_numpy())
 
 
 def rated(text: Column, model: Model, least: int = 1) -> Column:

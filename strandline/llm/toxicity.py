@@ -2,7 +2,7 @@
 
 A disguised token is a lattice: a sign may stand for a letter (or for nothing), a run of one letter for one or two of
 it, a gap between single characters for nothing or a word's end. The path of least channel cost plus character
-trigram cost is its restored text; the trigrams are counted over all documents. Every part with a digit or a sign is
+trigram cost is its restored text; the trigrams are counted over all documents, in a table of fixed size. Every part with a digit or a sign is
 decoded, however few letters it has; one more path takes it as it is written (a number, a code), of which only the
 letters are words. Paths dearer than one already known are left early, which changes no result. Signs that are punctuation too are dropped at an end at a lower cost. Tokens of letters without
 runs have one path and are taken as they are. Restored words and their first characters are hashed features, present or
@@ -12,7 +12,8 @@ texts gather no noise.
 
 Cases: null and empty texts get the score of a text without features; texts are read whole and of any length; rows
 are independent; an empty table gives an empty result; without labels of both kinds every score is the share of
-toxic labels (0.5 without any); null labels are not learned from; other columns are ignored.
+toxic labels (0.5 without any); null labels are not learned from, and a
+doc_id with several is toxic if one of them says so (the least of its texts counts); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,13 @@ from strandline.llm.words import Words, text_slices
 
 TOXIC, OTHER = 4000, 8000
 BUCKETS = 1 << 20
-#: Characters of the language model: code points below this, the rest count as the last.
+#: Symbols of the language model: a blank, a to z, the small letters of Latin-1 (U+00DF to U+00FF), any digit, any other
+#: letter, any sign.
+SYMBOLS, DIGIT, LETTER, SIGN = 64, 60, 61, 62
+#: Code points that are told apart within a symbol; the rest count as the last.
 ALPHABET = 0x180
+#: Sums that one trigram table takes: its own, and one for each code point.
+ENTRIES = SYMBOLS**3 + ALPHABET
 
 # Which letters a sign or digit commonly stands for.
 STANDS_FOR = {
@@ -57,37 +64,47 @@ _long_run = re.compile(r"(.)\1\1")
 _letter_runs = re.compile(r"[^\W\d_]+")
 
 
+@cache
+def _symbols() -> np.ndarray:
+    """The symbol of each code point of lower-cased text."""
+    out = np.full(0x110000, SIGN, np.uint8)
+    out[np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)] = LETTER
+    out[np.fromiter((chr(c).isdigit() for c in range(0x110000)), bool, 0x110000)] = DIGIT
+    out[:33] = 0
+    out[97:123] = np.arange(1, 27)
+    out[0xDF:0x100] = np.arange(27, 60)
+    return out
+
+
 class CharModel:
-    """Character trigrams with their bigrams mixed in; costs are negative log-probabilities."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.three: dict[int, int] = dict(zip(codes.tolist(), counts.tolist(), strict=True))
-        self.two: dict[int, int] = {}
-        self.one: dict[int, int] = {}
-        for code, n in self.three.items():
-            self.two[code // ALPHABET] = self.two.get(code // ALPHABET, 0) + n
-            last = code % (ALPHABET * ALPHABET)
-            self.one[last] = self.one.get(last, 0) + n
-        self.after: dict[int, int] = {}
+    """Trigrams of symbols with their bigrams mixed in, times the share of a code point in its symbol; costs are negative
+    log-probabilities. The table has a fixed size whatever the texts' characters."""
+
+    def __init__(self, counts: np.ndarray):
+        """counts: ENTRIES sums, of the trigrams of symbols and then of the code points."""
+        three = counts[: SYMBOLS**3].reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(np.float64)
+        two, one = three.sum(2), three.sum(0)
+        low = (one + 0.5) / (one.sum(1, keepdims=True) + 0.5 * 60)
+        self.table = -np.log((three + 5 * low[None]) / (two[:, :, None] + 5)).astype(np.float32)
+        points = counts[SYMBOLS**3 :].astype(np.float64) + 0.5
+        symbol = _symbols()[:ALPHABET].astype(np.int64)
+        symbol[-1] = LETTER
+        self.share = -np.log(points / np.bincount(symbol, weights=points, minlength=SYMBOLS)[symbol])
         self.costs: dict[str, float] = {}
-        for last, n in self.one.items():
-            self.after[last // ALPHABET] = self.after.get(last // ALPHABET, 0) + n
 
     def cost(self, three: str) -> float:
-        """Of the last of three characters after the other two; kept for as many as the alphabet's pairs."""
+        """Of the last of three characters after the other two; a bounded number is kept."""
         known = self.costs.get(three)
         if known is None:
-            if len(self.costs) > ALPHABET * ALPHABET:
+            if len(self.costs) > 1 << 16:
                 self.costs.clear()
-            known = self.costs[three] = self._cost(*three)
+            symbols = _symbols()
+            a, b, c = (int(symbols[ord(k)]) for k in three)
+            # A symbol with one code point has a share of 1.
+            own = 0.0 if c < DIGIT else self.share[min(ord(three[2]), ALPHABET - 1)]
+            known = self.costs[three] = float(self.table[a, b, c] + own)
         return known
 
-    def _cost(self, a: str, b: str, c: str) -> float:
-        x, y, z = (min(ord(k), ALPHABET - 1) for k in (a, b, c))
-        pair, last = x * ALPHABET + y, y * ALPHABET + z
-        low = (self.one.get(last, 0) + 0.5) / (self.after.get(y, 0) + 0.5 * 60)
-        return -math.log((self.three.get(pair * ALPHABET + z, 0) + 5 * low) / (self.two.get(pair, 0) + 5))
-
     def price(self, text: str) -> float:
         """Of a text as it is written, standing between two blanks."""
         padded = f"  {text} "
@@ -179,7 +196,7 @@ class Scorer:
             return self.plain(core)
         parts = _parts.findall(core)
         bare = [p.strip(_edges) or p for p in parts]
-        if len(parts) > 2 and all(len(p) == 1 for p in bare):
+        if len(parts) > 1 and all(len(p) == 1 for p in bare):
             return self.spaced("".join(bare))
         return [w for p in parts for w in (self.plain(p) if p.isalpha() else self.decoded(p, closed=")" in token))]
 
@@ -230,14 +247,14 @@ class Scorer:
             used = np.flatnonzero(some[words.codes])
             pairs = np.unique(docs[used].astype(np.int64) * len(names) + words.codes[used])
             found += [(p // len(names), f) for p in pairs.tolist() for f in each[p % len(names)]]
-        # Three and more single characters in a row, whatever punctuation stands at them, are one disguised run.
+        # Two and more single characters in a row, whatever punctuation stands at them, are one disguised run.
         alone = [lone(w) for w in names]
         single = np.fromiter((a != "" for a in alone), bool, len(names))
         if single.any():
             is_single = single[words.codes]
             change = np.flatnonzero(np.concatenate(([True], (is_single[1:] != is_single[:-1]) | (docs[1:] != docs[:-1]), [True]))) if len(docs) else np.zeros(1, int)
             for a, b in zip(change[:-1].tolist(), change[1:].tolist(), strict=True):
-                if b - a > 2 and is_single[a]:
+                if b - a > 1 and is_single[a]:
                     run = "".join(alone[c] for c in words.codes[a:b].tolist()).lower()
                     found += [(int(docs[a]), f) for f in run_cache[run]]
         both = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
@@ -265,23 +282,23 @@ def word_features(word: str) -> list[int]:
 
 
 def char_model(documents: DataFrame) -> CharModel:
-    """Trigrams of the lower-cased characters of all texts, any white space one blank; tables of ALPHABET**3 entries at most."""
+    """Trigrams of the lower-cased characters of all texts, any white space one blank; ENTRIES sums whatever the texts."""
 
     def count(batches):
-        held: dict[int, int] = {}
+        held = np.zeros(ENTRIES, np.int64)
         for batch in batches:
             for _, texts in text_slices(batch.column("text"), 1 << 20):
-                points = np.frombuffer("\n\n".join(texts.to_pylist()).lower().encode("utf-32-le"), np.uint32)
-                points = np.minimum(points, ALPHABET - 1).astype(np.int32)
-                points[points <= 32] = 32
-                codes = (points[:-2] * ALPHABET + points[1:-1]) * ALPHABET + points[2:]
-                seen, n = np.unique(codes, return_counts=True)
-                for c, k in zip(seen.tolist(), n.tolist(), strict=True):
-                    held[c] = held.get(c, 0) + k
-        yield pa.RecordBatch.from_pydict({"code": pa.array(list(held), pa.int64()), "n": pa.array(list(held.values()), pa.int64())})
+                points = np.frombuffer("\n\n".join(texts.to_pylist()).lower().encode("utf-32-le", "replace"), np.uint32)
+                symbols = _symbols()[points].astype(np.int32)
+                held[: SYMBOLS**3] += np.bincount((symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:], minlength=SYMBOLS**3)
+                held[SYMBOLS**3 :] += np.bincount(np.minimum(points, ALPHABET - 1), minlength=ALPHABET)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict({"code": pa.array(some), "n": pa.array(held[some])})
 
     table = documents.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return CharModel(table["code"].to_numpy(), table["n"].to_numpy())
+    counts = np.zeros(ENTRIES, np.int64)
+    counts[table["code"].to_numpy()] = table["n"].to_numpy()
+    return CharModel(counts)
 
 
 def fit(rows: list[np.ndarray], toxic: np.ndarray, epochs: int = 8, alpha: float = 2.0, l1: float = 5.0, l2: float = 0.01) -> tuple[dict[int, float], float]:
@@ -319,7 +336,7 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, othe
     if not n_toxic or not n_other:
         share = min(1 - 1e-6, max(1e-6, n_toxic / (n_toxic + n_other))) if n_toxic + n_other else 0.5
         return Scorer(chars, {}, math.log(share / (1 - share)), "toxicity-none")
-    draft = Scorer(chars, name=f"training-{hash(frozenset(chars.three.items()))}")
+    draft = Scorer(chars, name=f"training-{zlib.crc32(chars.table.tobytes())}")
 
     def features(batches):
         for batch in batches:

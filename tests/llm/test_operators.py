@@ -1,11 +1,12 @@
 """The corpus operators against brute force on small fixtures with nulls, empties, ties, repeats and clashing columns."""
 
+import bisect
 import hashlib
 import random
 import re
 import zlib
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -262,6 +263,35 @@ def test_hilbert_shards(spark, docs, empty):
     assert hilbert.digests(empty).count() == 0
 
 
+def test_hilbert_equals_plain_sort(spark, docs):
+    """All rows sorted by (curve index, doc_id, checksum) and cut into equal runs, with a clash of every working name."""
+    path = wavelet.new_path(spark, "plain-shards")
+    wide = docs.withColumn("source", F.concat(F.lit("https://a.example/"), "source")).selectExpr("*", "1 AS slot", "2 AS curve", "3 AS file", "'k' AS checksum")
+    dimensions = hilbert.document_dimensions()
+    name = hilbert.write_shards(wide, path, dimensions, shards=7, bits=3)
+    rows, slot = hilbert.read_slots(wide, path, name)
+    assert name == "_shard" and slot == "_slot" and set(wide.columns) < set(rows.columns)
+    got = {r["doc_id"]: (r[name], r[slot], r["shard"], r["file"], r["source"]) for r in rows.collect()}
+    all_ = wide.select("doc_id", "text", "source", *[d.alias(f"d{i}") for i, d in enumerate(dimensions.values())]).collect()
+    cells = []
+    for i in range(4):
+        values = [r[f"d{i}"] for r in all_]
+        ordered = sorted(v for v in values if v is not None)
+        if isinstance(ordered[0], str):
+            cuts = sorted({ordered[-(-k * len(ordered) // 8)] for k in range(1, 8)} - {ordered[0]})
+        else:
+            cuts = hilbert.cut_points(wide.select(list(dimensions.values())[i].cast("double").alias("x")), ["x"], 3)["x"]
+        cells.append([0 if v is None else bisect.bisect_right(cuts, v) for v in values])
+    at = hilbert.hilbert_index(np.array(cells).T, 3)
+    order = sorted(range(len(all_)), key=lambda i: (at[i], all_[i]["doc_id"], zlib.crc32((all_[i]["text"] or "").encode())))
+    slots = Counter()
+    for rank, i in enumerate(order):
+        shard = rank * 7 // len(order)
+        assert got[all_[i]["doc_id"]] == (shard, slots[shard], "clash", 3, all_[i]["source"])
+        slots[shard] += 1
+    assert len(set(cells[1])) == 3  # sources that share their first bytes are in cells of their own
+
+
 def test_hilbert_ties(spark):
     rows = spark.createDataFrame([(1, "same", "en", "s")] * 100 + [(None, None, None, None)] * 30, "doc_id long, text string, lang string, source string")
     counts = Counter(r["shard"] for r in hilbert.digests(rows).collect())
@@ -463,6 +493,50 @@ def test_toxicity_held_out(corpus):
     assert (pos[:, None] > neg[None, :]).mean() > 0.75 and (neg >= 0.5).mean() < 0.05
 
 
+def test_viterbi_equals_all_paths(corpus):
+    docs, _ = corpus
+    chars = toxicity.char_model(docs)
+    rng = random.Random(9)
+    for _ in range(150):
+        part = "".join(rng.choice("aost01$@!e") for _ in range(rng.randint(1, 6)))
+        lattice = toxicity.lattice_of(part, gaps=rng.random() < 0.4)
+        paths = [("".join(x for x, _ in choice), sum(c for _, c in choice)) for choice in product(*lattice)]
+        costs = {}
+        for text, spent in paths:
+            padded = f"  {text} "
+            cost = spent + sum(chars.cost(padded[k : k + 3]) for k in range(len(padded) - 2))
+            costs[text] = min(cost, costs.get(text, np.inf))
+        text, cost = chars.cheapest(lattice)
+        assert cost == pytest.approx(min(costs.values()))
+        assert min(costs[t] for t in costs if t.strip() == text) == pytest.approx(cost)
+
+
+def test_trigram_table(spark):
+    model = toxicity.char_model(spark.createDataFrame([("Ab c1ß",), ("",), ("a\nb",), ("日x",), (None,)], "text string"))
+    assert model.table.shape == (64, 64, 64) and (model.table > 0).all()
+    assert model.cost("ab ") < model.cost("abz") and model.cost("  a") == model.cost("\n\na")
+
+
+def test_toxicity_equals_plain_score(corpus):
+    """The definition: features of all restored words, each once, under the weights."""
+    docs, labels = corpus
+    scorer = toxicity.train(docs, labels)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + ["", "you 1d10t !diot m o r o n", "a b", "i d"]
+    for text, score in zip(texts, scorer.scores(pa.array(texts)), strict=True):
+        found, run = set(), []
+        for token in [*(text or "").split(), None]:
+            found |= {f for w in scorer.restored(token or "") for f in toxicity.word_features(w)}
+            one = toxicity.lone(token or "")
+            if one:
+                run.append(one)
+                continue
+            if len(run) > 1:
+                found |= {f for w in scorer.spaced("".join(run).lower()) for f in toxicity.word_features(w)}
+            run = []
+        total = scorer.intercept + sum(scorer.weights.get(f, 0.0) for f in found)
+        assert score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-6)
+
+
 def test_deobfuscation(corpus):
     docs, _ = corpus
     scorer = toxicity.Scorer(toxicity.char_model(docs))
