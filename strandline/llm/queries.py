@@ -25,6 +25,11 @@ def op4_spotsigs(spark, folder):
     return spotsigs.digests(_table(spark, folder, "documents"))
 
 
+def spotsigs_links(spark, folder):
+    """The similarity join of op4's signature sets: class and number of links of each document."""
+    return spotsigs.links(_table(spark, folder, "documents"))
+
+
 DAY = 86_400
 START = 1_704_067_200  # 2024-01-01 UTC
 
@@ -87,5 +92,5 @@ def op10_minhash(spark, folder):
     return minhash.clusters(_table(spark, folder, "documents"), width=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_wavelet_shards, op3_channel_toxicity, op4_spotsigs, op5_temporal_url_lists, op6_prefix_decontam, op7_subword_langid, op8_tree_bpe, op9_hilbert_shards, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_wavelet_shards, op3_channel_toxicity, op4_spotsigs, op5_temporal_url_lists, op6_prefix_decontam, op7_subword_langid, op8_tree_bpe, op9_hilbert_shards, op10_minhash, spotsigs_links)}
 ORACLE_SQL = {"op5_temporal_url_lists": _url_oracle()}

@@ -124,22 +124,54 @@ def digests(documents: DataFrame) -> DataFrame:
     )
 
 
-def pairs(documents: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(pairs, membership): pairs a < b of classes (rows with one signature set, named by their least doc_id) whose
-    Jaccard coefficient reaches `threshold`, with `likeness`; and doc_id with its class. Empty sets are in no pair."""
-    signed = documents.filter("doc_id IS NOT NULL").select("doc_id", signatures(F.col("text")).alias("sigs")).withColumn("name", fingerprint(F.col("sigs")))
+def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((name, class, sigs, n) of each distinct signature set that is not empty, (doc_id, name, class) of each row)."""
+    signed = documents.select("doc_id", signatures(F.col("text")).alias("sigs")).withColumn("name", fingerprint(F.col("sigs")))
     least = signed.groupBy("name").agg(F.min("doc_id").alias("class"))
-    member = signed.select("doc_id", "name").join(least, "name").select("doc_id", "class")
-    sets = signed.join(least, (signed["name"] == least["name"]) & (signed["doc_id"] == least["class"])).filter(F.size("sigs") > 0).select("class", "sigs", F.size("sigs").alias("n")).dropDuplicates(["class"])
-    each = sets.select("class", "n", F.explode("sigs").alias("sig"))
-    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("spread")), "sig").groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("spread", "sig"))).alias("order"))
-    prefix = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
+    member = signed.select("doc_id", "name").join(least, "name").select("doc_id", "name", "class")
+    sets = signed.join(least, "name").filter((F.col("doc_id") == F.col("class")) & (F.size("sigs") > 0))
+    return sets.select("name", "class", "sigs", F.size("sigs").alias("n")).dropDuplicates(["name"]), member
+
+
+def _linked(sets: DataFrame, threshold: float) -> DataFrame:
+    """(name_a, a, name_b, b, likeness): pairs of different sets that reach `threshold`, each once.
+
+    Both sides of the join on (signature, size range) are plain exchanges, so that adaptive execution splits a signature
+    that very many sets are filed under; a pair is compared at the rarest signature that both are filed under only."""
+    each = sets.select("name", "n", F.explode("sigs").alias("sig"))
+    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("spread")), "sig").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("spread", "sig"))).alias("order"))
+    prefix = F.transform(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")), lambda p: p["sig"])
     width = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    filed = ranked.select("class", "n", width.alias("size_range"), F.explode(prefix).alias("p")).select("class", "n", "size_range", F.col("p.sig").alias("sig"))
-    left = filed.select("sig", F.col("class").alias("a"), F.col("n").alias("n_a"), F.explode(F.array("size_range", F.col("size_range") + 1)).alias("size_range"))
-    right = filed.select("sig", F.col("class").alias("b"), F.col("n").alias("n_b"), "size_range")
-    likely = left.join(right, ["sig", "size_range"]).filter((F.col("a") != F.col("b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")))
-    likely = likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    of = lambda k: sets.select(F.col("class").alias(k), F.col("sigs").alias(f"sigs_{k}"))
-    close = likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", likeness(F.col("sigs_a"), F.col("sigs_b")).alias("likeness")).filter(F.col("likeness") >= threshold)
-    return close, member
+    filed = ranked.select("name", "n", width.alias("size_range"), prefix.alias("prefix"))
+    filed = filed.select("name", "n", "size_range", "prefix", F.posexplode("prefix").alias("at", "sig"))
+    left = filed.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("name", "n", "prefix", "at")], F.explode(F.array("size_range", F.col("size_range") + 1)).alias("size_range"), F.col("size_range").alias("range_a"))
+    right = filed.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("name", "n", "prefix", "at")], "size_range")
+    # Within one range a pair meets twice, once either way; between ranges once.
+    once = (F.col("range_a") != F.col("size_range")) | (F.col("name_a") < F.col("name_b"))
+    near = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
+    # Positions: what both can still share from here on is not enough where too little is left of either.
+    left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = left_over * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
+    first = ~F.arrays_overlap(F.slice("prefix_a", F.lit(1), F.col("at_a")), F.slice("prefix_b", F.lit(1), F.col("at_b")))
+    likely = left.join(right, ["sig", "size_range"]).filter((F.col("name_a") != F.col("name_b")) & once & near & enough & first).select("name_a", "name_b")
+    of = lambda k: sets.select(F.col("name").alias(f"name_{k}"), F.col("class").alias(k), F.col("sigs").alias(f"sigs_{k}"))
+    met = likely.join(of("a"), "name_a").join(of("b"), "name_b")
+    return met.select("name_a", "a", "name_b", "b", likeness(F.col("sigs_a"), F.col("sigs_b")).alias("likeness")).filter(F.col("likeness") >= threshold)
+
+
+def pairs(documents: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(pairs, membership): pairs a < b of classes (rows with one signature set, named by their least doc_id) whose
+    Jaccard coefficient reaches `threshold`, with `likeness`; and doc_id with its class. Empty sets are in no pair; a row
+    without doc_id has the class of its set, none where no row with a doc_id has that set. Where one doc_id names several
+    sets, a pair of classes has the best likeness of theirs."""
+    sets, member = _classes(documents)
+    close = _linked(sets, threshold).filter("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("likeness").alias("likeness"))
+    return close, member.select("doc_id", "class")
+
+
+def links(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id and n_links (other sets that reach `threshold`) of each row of `documents`."""
+    sets, member = _classes(documents)
+    met = _linked(sets, threshold)
+    ends = met.select(F.explode(F.array("name_a", "name_b")).alias("name")).groupBy("name").agg(F.count("*").alias("n_links"))
+    return member.join(ends, "name", "left").select("doc_id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -346,6 +346,22 @@ def test_spotsigs_pairs(docs):
     assert {r["doc_id"]: r["class"] for r in member.collect()} == {k: first[s] for k, s in sets.items()}
 
 
+def test_spotsigs_links(spark, docs, empty):
+    family = [(900 + v, " ".join(f"the x{i if (i * 7) % 41 > v * 3 else 100 * v + i} y{i}" for i in range(40))) for v in range(6)]
+    odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*family, (None, family[2][1]), (None, some_texts()[9]), (None, "no such text as this"), (0, some_texts()[10]), (3, None)], "doc_id long, text string"))
+    for threshold in (0.3, 0.8):
+        got = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in spotsigs.links(odd, threshold).collect())
+        rows = [(r["doc_id"], frozenset(brute_spots(r["text"]))) for r in odd.collect()]
+        first = {}
+        for k, s in rows:
+            first[s] = min([x for x in (first.get(s), k) if x is not None], default=None)
+        known = [s for s in first if s and first[s] is not None]
+        n = {s: sum(jaccard(s, t) >= threshold for t in known if t != s) for s in known}
+        assert got == sorted((str(k), str(first[s]), n.get(s, 0)) for k, s in rows)
+        assert any(n.values())
+    assert spotsigs.links(empty).count() == 0
+
+
 # --- url lists
 
 
@@ -364,6 +380,15 @@ def test_url_lists(spark):
     assert not urllists.verdicts(captures, changes.limit(0)).filter("listed").count() and urllists.verdicts(captures.limit(0), changes).count() == 0
 
 
+def test_url_list_names(spark):
+    """Columns of the captures that have a working or a result name stay as they are."""
+    changes = spark.createDataFrame([("l", "com", 5, True), ("m", "b.com", 0, True)], "list string, host string, at long, added boolean")
+    captures = spark.createDataFrame([("http://a.b.com", 9, "h", "t", "n", 1, 2, 3), ("http://a.org", 9, "h", "t", "n", 1, 2, 3)], "url string, fetched long, _host string, _at string, _name string, listed int, n_entries int, lists int")
+    got = urllists.verdicts(captures, changes)
+    assert got.columns == [*captures.columns, "_listed", "_n_entries", "_lists"]
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [("h", "t", "n", 1, 2, 3, False, 0, ""), ("h", "t", "n", 1, 2, 3, True, 2, "l,m")]
+
+
 # --- classifiers
 
 
