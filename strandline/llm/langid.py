@@ -37,7 +37,7 @@ BUCKETS = 1 << 16
 WIDTH = 16
 UND = "und"
 #: Share of correctly predicted calibration texts that may be below a rejection threshold, and its slack.
-MAY_REJECT, SLACK = 0.002, 0.1
+MAY_REJECT, SLACK = 0.002, 0.25
 
 #: Words whose subwords are made at a time.
 CHUNK = 50_000

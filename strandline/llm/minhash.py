@@ -6,12 +6,13 @@
 2. Classes that share a band (`rows` minima) are a bucket. All members are paired with the bucket's least class
    (a star, so a bucket of k gives k - 1 pairs), pairs are verified on the signatures and then on the full sets,
    and the links' components are found.
-3. A link that no star holds joins different components that meet in some bucket. Every bucket with several components
-   is compared on the full sets: members outside the bucket's largest component with all the others. A bucket is cut
-   into blocks (BLOCK members, BLOCK_SHINGLES shingles at most, by hash) and each pair of blocks that may hold such a
-   link is one small group, which gives no more links than it joins components. Copies of one text that the stars have
-   joined are not compared again. A bucket of m members, r of them outside its largest component, so sends each member
-   to at most r / BLOCK + m / BLOCK groups: the work of a verified join, in groups of bounded size.
+3. A link that no star holds joins different components that meet in some bucket. Every bucket whose members but for the
+   least one are in several components is compared: members outside the bucket's largest component with all the others, first on the signatures, then those
+   members that some signature speaks for on the full sets. A bucket is cut into blocks (BLOCK members, BLOCK_SHINGLES
+   shingles at most, by hash) and each pair of blocks that may hold such a link is one small group, which gives no more
+   links than it joins components. Copies of one text that the stars have joined are not compared again. A bucket of m
+   members, r of them outside its largest component, so sends each member's signature to at most r / BLOCK + m / BLOCK
+   groups: the work of a verified join, in groups of bounded size.
 
 Sets are made again from the text for classes in some pair only, which takes less room than keeping all. `plan` picks
 rows and bands so that a pair at the threshold shares no band with a probability of MISS at most; pairs that share one
@@ -146,10 +147,15 @@ def _sets(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return made.join(wanted.select("doc_id", "name").distinct(), ["doc_id", "name"], "left_semi").dropDuplicates(["name"]).select("name", "set")
 
 
-def _agree(count: int, percent: int) -> Column:
-    """Whether two signatures agree often enough: at the threshold the share of equal minima is within 5.5 deviations of it."""
+def _least_equal(count: int, percent: int) -> int:
+    """How many of `count` minima are equal at least: at the threshold their share is within 5.5 deviations of it."""
     t = percent / 100
-    least = max(0, math.floor(count * t - 5.5 * math.sqrt(count * t * (1 - t))))
+    return max(0, math.floor(count * t - 5.5 * math.sqrt(count * t * (1 - t))))
+
+
+def _agree(count: int, percent: int) -> Column:
+    """Whether two signatures agree often enough."""
+    least = _least_equal(count, percent)
 
     @F.arrow_udf("boolean")
     def agree(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -161,6 +167,28 @@ def _agree(count: int, percent: int) -> Column:
     return agree(F.col("minima_a"), F.col("minima_b"))
 
 
+def _likely_rows(count: int, percent: int):
+    """The rows of a meet whose signature agrees with one that it is to be compared with, of another component."""
+    least = _least_equal(count, percent)
+
+    def likely(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        minima = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint32).reshape(len(table), count)
+        n, seed = table["n"].to_numpy(), table["seed"].to_numpy(zero_copy_only=False)
+        component, inner = table["component"].to_numpy(), table["inner"][0].as_py()
+        others = np.arange(len(table)) if inner else np.flatnonzero(~seed)
+        found = np.zeros(len(table), bool)
+        for s in np.flatnonzero(seed):
+            sized = 100 * np.minimum(n[others], n[s]) >= percent * np.maximum(n[others], n[s])
+            near = others[sized & (component[others] != component[s])]
+            near = near[(minima[near] == minima[s]).sum(1) >= least]
+            if len(near):
+                found[near] = found[s] = True
+        return table.drop_columns(["minima", "n"]).filter(pa.array(found))
+
+    return likely
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width: int, percent: int, count: int, name: str) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold, as (u, v), staged."""
     spark = pairs.sparkSession
@@ -178,7 +206,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width:
 
 
 def _meets(members: DataFrame) -> DataFrame:
-    """(meet, inner, seed, doc_id, name, component) from members (bucket, doc_id, name, component, n) of buckets: `meet`
+    """(meet, inner, seed, doc_id, name, n, component) from members (bucket, doc_id, name, component, n) of buckets: `meet`
     names a pair of blocks, `seed` rows are to be compared with the others, and where `inner` is set with each other too."""
     parts = members.groupBy("bucket", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     buckets = parts.groupBy("bucket").agg(
@@ -198,7 +226,7 @@ def _meets(members: DataFrame) -> DataFrame:
     )
     sent = here.withColumn("m", F.explode(F.when(F.col("in_core"), with_rest).otherwise(F.concat(with_core, among))))
     inner = (F.col("m.kind") == 0) & (F.col("m.i") == 0)
-    return sent.select(F.xxhash64("bucket", "m.kind", "m.i", "m.j").alias("meet"), inner.alias("inner"), F.col("m.seed").alias("seed"), "doc_id", "name", "component")
+    return sent.select(F.xxhash64("bucket", "m.kind", "m.i", "m.j").alias("meet"), inner.alias("inner"), F.col("m.seed").alias("seed"), "doc_id", "name", "n", "component")
 
 
 def _joining_links(percent: int):
@@ -242,7 +270,10 @@ def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     # The least doc_id of each set, found with sums that tasks make before the shuffle.
     # Staged, so that the joins on a set with very many copies have two plain exchanges and can be split.
     names = staged(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id")), "minhash-names")
-    classes = staged(sketched.join(names, ["name", "doc_id"]).dropDuplicates(["name"]).select("doc_id", "name", "n", "minima", "bands"), "minhash-classes")
+    # One set has one least doc_id, so both name it; the join has dealt the rows by both.
+    classes = staged(sketched.join(names, ["name", "doc_id"]).dropDuplicates(["name", "doc_id"]).select("doc_id", "name", "n", "minima", "bands"), "minhash-classes")
+    thin = staged(sketched.select("doc_id", "n", "name"), "minhash-thin")
+    discard(spark, sketched)
     banded = classes.select("doc_id", "name", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "doc_id", "name", "n")
     stars = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("members")).filter("members > 1")
     filed = staged(banded.join(stars.select("bucket", "a"), "bucket"), "minhash-filed")
@@ -250,24 +281,26 @@ def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     links = _verified(pairs, classes, documents, width, percent, rows * bands, "minhash-star")
     found = components(links, "minhash-found")
 
-    # What the stars leave: buckets that hold several components.
-    mine = filed.drop("a").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # What the stars leave: buckets that hold several components. Every pair with a bucket's least class is done.
+    mine = filed.filter("a != doc_id").drop("a").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mine = staged(mine, "minhash-members")
-    meets = staged(_meets(mine), "minhash-meets")
+    signed = _meets(mine).join(classes.select("name", "minima"), "name")
+    schema = "name binary, meet long, inner boolean, seed boolean, doc_id long, component long"
+    meets = staged(signed.groupBy("meet").applyInArrow(_likely_rows(rows * bands, percent), schema), "minhash-meets")
     sets = _sets(documents, meets.select("doc_id", "name").distinct(), width)
     more = staged(meets.join(sets, "name").groupBy("meet").applyInArrow(_joining_links(percent), "u long, v long"), "minhash-more")
 
     # Rows with one doc_id are one document: what their sets are linked with is linked.
-    own = sketched.filter("doc_id IS NOT NULL").select("doc_id", "n", "name").join(names.select("name", F.col("doc_id").alias("least")), "name", "left")
+    own = thin.filter("doc_id IS NOT NULL").join(names.select("name", F.col("doc_id").alias("least")), "name", "left")
     own = staged(own.select("doc_id", "n", F.coalesce("least", "doc_id").alias("least")), "minhash-rows")
     bonds = own.filter("doc_id != least").select("doc_id", "least")
-    repeated = sketched.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    repeated = thin.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     bonds = bonds.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
     found_all = components(links.unionByName(more).unionByName(bonds), "minhash-found")
     known = own.join(found_all.withColumnRenamed("node", "least"), "least", "left").select("doc_id", "n", F.coalesce("component", "least").alias("component"))
-    nameless = sketched.filter("doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component"))
+    nameless = thin.filter("doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long").alias("component"))
     result = staged(known.unionByName(nameless), "minhash-result")
-    discard(spark, sketched, names, classes, filed, pairs, links, found, mine, meets, more, own, found_all)
+    discard(spark, thin, names, classes, filed, pairs, links, found, mine, meets, more, own, found_all)
     return result
 
 
