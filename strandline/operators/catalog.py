@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import logs, metrics
+from strandline.sources.store import _exists
 
 ALL_TABLES = 0
 ACTIONS = ("READ", "WRITE", "DDL")
@@ -28,7 +29,8 @@ class Registry:
 
     tables: dict[str, tuple[int, str, str]] = field(default_factory=dict)  # name -> (id, engine, schema)
     version: int = 0
-    history: list[tuple[int, str, str, str]] = field(default_factory=list)  # version, action, table, schema
+    history: list[tuple[int, str, str, str, str]] = field(default_factory=list)  # version, action, table, engine, schema
+    saved: int = 0  # changes that are in the stored history
 
     def create(self, name: str, engine: str, schema: str) -> int:
         if name.lower() in self.tables:
@@ -36,14 +38,53 @@ class Registry:
         self.version += 1
         number = 1 + max((t[0] for t in self.tables.values()), default=0)
         self.tables[name.lower()] = (number, engine, schema)
-        self.history.append((self.version, "CREATE", name.lower(), schema))
+        self.history.append((self.version, "CREATE", name.lower(), engine, schema))
         return number
 
     def drop(self, name: str) -> None:
         number, engine, schema = self.get(name)
         del self.tables[name.lower()]
         self.version += 1
-        self.history.append((self.version, "DROP", name.lower(), schema))
+        self.history.append((self.version, "DROP", name.lower(), engine, schema))
+
+    def alter(self, name: str, schema: str) -> None:
+        number, engine, _ = self.get(name)
+        self.version += 1
+        self.tables[name.lower()] = (number, engine, schema)
+        self.history.append((self.version, "ALTER", name.lower(), engine, schema))
+
+    HISTORY = "version int, action string, name string, engine string, schema string"
+
+    def history_frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.history, self.HISTORY)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Appends the changes since the last save to the stored history, an append-only table. Two sessions that made
+        the same version do not both save: the later one is refused."""
+        stored = 0
+        if _exists(spark, path):
+            stored = spark.read.schema(self.HISTORY).parquet(path).agg(F.max("version")).first()[0] or 0
+        if stored != self.saved:
+            raise CatalogError(f"another session has saved version {stored}")
+        if new := [h for h in self.history if h[0] > self.saved]:
+            spark.createDataFrame(new, self.HISTORY).coalesce(1).write.mode("append").parquet(path)
+            self.saved = self.version
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Registry:
+        """The registry of a stored history, its changes made again in order."""
+        out = cls()
+        for version, action, name, engine, schema in spark.read.schema(cls.HISTORY).parquet(path).orderBy("version").collect():
+            if action == "CREATE":
+                out.create(name, engine, schema)
+            elif action == "ALTER":
+                out.alter(name, schema)
+            else:
+                out.drop(name)
+            if out.version != version:
+                raise CatalogError(f"the history lacks version {out.version}")
+        out.saved = out.version
+        return out
 
     def get(self, name: str) -> tuple[int, str, str]:
         if name.lower() not in self.tables:

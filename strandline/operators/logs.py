@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.logtext import parse_log_payload, tokenize
@@ -54,9 +54,32 @@ def token_postings(logs: DataFrame, key: str, body: str = "body") -> DataFrame:
     return logs.select(F.explode(tokenize(F.col(body))).alias("token"), key)
 
 
+#: Folders of a postings table; a token's keys are in one of them.
+POSTING_FOLDERS = 64
+
+
+def _folder(token: Column) -> Column:
+    return F.pmod(F.crc32(token.cast("binary")), F.lit(POSTING_FOLDERS)).cast("int")
+
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    """Appends (token, key) to a table in folders by token, sorted by token: call it with the rows of each append of
+    records, so that a search reads a few row groups of a few folders and cuts no body into tokens."""
+    key = next(c for c in postings.columns if c != "token")
+    dealt = postings.withColumn("folder", _folder(F.col("token"))).repartition("folder", F.pmod(F.xxhash64(key), F.lit(4)))
+    dealt.sortWithinPartitions("folder", "token").write.mode("append").partitionBy("folder").option("compression", "zstd").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, tokens: list[str]) -> DataFrame:
+    """The postings of some tokens; other folders are not listed."""
+    folders = sorted({zlib.crc32(t.encode()) % POSTING_FOLDERS for t in tokens})
+    return spark.read.parquet(path).filter(F.col("folder").isin(folders) & F.col("token").isin(list(tokens))).drop("folder")
+
+
 def search_postings(postings: DataFrame, key: str, tokens: list[str]) -> DataFrame:
-    """Keys of the records that have all of `tokens`."""
-    return reduce(DataFrame.intersect, [postings.filter(F.col("token") == t).select(key) for t in tokens])
+    """Keys of the records that have all of `tokens`: one pass over the postings, one aggregation."""
+    wanted = sorted(set(tokens))
+    return postings.filter(F.col("token").isin(wanted)).groupBy(key).agg(F.count_distinct("token").alias("found")).filter(F.col("found") == len(wanted)).select(key)
 
 
 def retain(logs: DataFrame, now: int, days: int = RETENTION_DAYS) -> DataFrame:

@@ -28,12 +28,19 @@ def shape(df: DataFrame, time: Column, tags: Column, value: Column, metric_name:
 
 
 def range_scan(points: DataFrame, start: int | None = None, end: int | None = None, tags: dict[str, str] | None = None) -> DataFrame:
-    """Points of [start, end] (None: unbounded) that have all the tags; the time bounds are pushed to the reader."""
+    """Points of [start, end] (None: unbounded) that have all the tags. Bounds on a stored `time` reach the reader; for a
+    computed one bound the stored column as well (`sources.tables.within`)."""
     if start is not None:
         points = points.filter(F.col("time") >= start)
     if end is not None:
         points = points.filter(F.col("time") <= end)
-    return points.filter(has_tags(tags_to_map(F.col("tags")), tags)) if tags else points
+    if not tags:
+        return points
+    # A text without a wanted key and value cannot hold the tag (but for escapes in JSON): most rows end here, unparsed.
+    text = F.col("tags")
+    for part in (x for pair in tags.items() for x in pair):
+        points = points.filter(F.contains(text, F.lit(part)) | F.contains(text, F.lit("\\")))
+    return points.filter(has_tags(tags_to_map(text), tags))
 
 
 def tag_postings(points: DataFrame, key: str) -> DataFrame:
@@ -43,10 +50,13 @@ def tag_postings(points: DataFrame, key: str) -> DataFrame:
 
 def indexed_scan(points: DataFrame, postings: DataFrame, key: str, tags: dict[str, str], start: int | None = None, end: int | None = None) -> DataFrame:
     """As range_scan, through the intersection of the tags' postings."""
-    lists = [postings.filter((F.col("tag") == k) & (F.col("tag_value") == v)).select(key) for k, v in tags.items()]
-    hit = reduce(DataFrame.intersect, lists) if lists else None
     out = range_scan(points, start, end)
-    return out if hit is None else out.join(hit, key, "left_semi")
+    if not tags:
+        return out
+    pair = F.struct("tag", "tag_value")
+    wanted = postings.filter(pair.isin([F.struct(F.lit(k), F.lit(v)) for k, v in tags.items()]))
+    hit = wanted.groupBy(key).agg(F.count_distinct("tag").alias("found")).filter(F.col("found") == len(tags)).select(key)
+    return out.join(hit, key, "left_semi")
 
 
 def rollup(points: DataFrame, seconds: int, by: list[str] | None = None, digits: int | None = None) -> DataFrame:

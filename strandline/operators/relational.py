@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,36 @@ def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Rows after `offset`, `limit` at most (0: none)."""
     df = df.offset(offset) if offset else df
     return df if limit is None else df.limit(limit)
+
+
+def numbered(ordered: DataFrame, name: str, path: str) -> DataFrame:
+    """An ordered frame with each row's place from 1, kept as a table at `path`: the rows stay in their range partitions,
+    and one count for each of these comes to the driver. Written first, as a plan that ran twice could part them otherwise."""
+    spark = ordered.sparkSession
+    ordered.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    marked, part = spark.read.parquet(path), F.shiftrightunsigned(name, 33)
+    bases, done = [], 0
+    for k, n in sorted(tuple(r) for r in marked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        bases.append((k, done))
+        done += n
+    known = F.broadcast(spark.createDataFrame(bases, "_part long, _before long"))
+    return marked.join(known, part == F.col("_part")).withColumn(name, F.col("_before") + F.col(name).bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_before")
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str]) -> DataFrame:
+    """Each left row with `values` of the right row of the same `by` with the latest `at` not after its own (nulls where
+    there is none). Both sides go into one sorted window, so a key's rows meet once, without a pair for each match."""
+    none = [F.lit(None).cast(t).alias(n) for n, t in right.dtypes if n in values]
+    asked = left.select(F.struct(*left.columns).alias("_row"), *by, at, *none, F.lit(1).alias("_side"))
+    told = right.select(F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), *by, at, *values, F.lit(0).alias("_side"))
+    upto = Window.partitionBy(*by).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_side") == 0, F.struct(*values)), ignorenulls=True).over(upto)
+    return asked.unionByName(told).withColumn("_found", last).filter("_side = 1").select("_row.*", *[F.col(f"_found.{v}").alias(v) for v in values])
+
+
+def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, width: int) -> DataFrame:
+    """Points with each range [lo, hi] that holds them: an equi-join on cells of `width`, then the bounds."""
+    cell = F.floor(F.col(at) / width)
+    cells = F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))
+    wide = ranges.filter(F.col(lo) <= F.col(hi)).withColumn("_cell", F.explode(cells))
+    return points.withColumn("_cell", cell).join(wide, "_cell").filter(F.col(at).between(F.col(lo), F.col(hi))).drop("_cell")

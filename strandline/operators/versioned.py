@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MUTATION_CAP = 1000
@@ -17,8 +17,28 @@ def append(log: DataFrame, rows: DataFrame, version: int, deleted: bool = False)
     return log.unionByName(rows.withColumns({"_version": F.lit(version).cast("bigint"), "_deleted": F.lit(deleted)}))
 
 
+def append_checked(log: DataFrame, rows: DataFrame, key: list[str], version: int, deleted: bool = False) -> DataFrame:
+    """As append, but refused unless the version is above all in the log and the rows have whole keys, each once."""
+    last = log.agg(F.max("_version")).first()[0]
+    if last is not None and version <= last:
+        raise MutationError(f"version {version} is not above {last}")
+    check(rows, key)
+    return append(log, rows, version, deleted)
+
+
+def check(rows: DataFrame, key: list[str]) -> None:
+    """Raises MutationError where a key has a null or stands twice; stops at the first such key."""
+    missing = F.lit(False)
+    for k in key:
+        missing = missing | F.col(k).isNull()
+    bad = rows.groupBy(*key).agg(F.count("*").alias("n")).filter((F.col("n") > 1) | missing).first()
+    if bad is not None:
+        raise MutationError(f"key {[bad[k] for k in key]} is not unique or not whole")
+
+
 def _newest(log: DataFrame, key: list[str]) -> Column:
-    # max_by keeps one row for each key while tasks aggregate, where a window would sort all versions.
+    # Tasks keep one row for each key before the shuffle. Catalyst sorts for that (a row is no fixed-size state), but
+    # moves the newest versions only, where a window would move and sort all.
     return F.max_by(F.struct(*[c for c in log.columns if c not in key]), F.col("_version"))
 
 
@@ -64,6 +84,17 @@ def delete(log: DataFrame, key: list[str], as_of: int, where: Column | None, cap
     return append(log, _matched(log, key, as_of, where, cap, allow_all), as_of + 1, deleted=True)
 
 
-def compact(table: DataFrame, path: str, files: int) -> None:
-    """Rewrites a table of many small files as `files` ones."""
-    table.repartition(files).write.mode("overwrite").option("compression", "zstd").parquet(path)
+def compact(spark: SparkSession, path: str, files: int) -> None:
+    """Rewrites a parquet table of many small files as `files` ones: beside it first, then in its place. Readers that
+    began before keep to files that are gone, so compact while none runs; the rows are counted before the old ones go."""
+    jvm = spark.sparkContext._jvm
+    at, fresh, old = (jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in ("", "-compacting", "-before"))
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    table = spark.read.parquet(path)
+    table.repartition(files).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}-compacting")
+    if spark.read.parquet(f"{path}-compacting").count() != table.count():
+        raise MutationError("rows came or went while compacting")
+    store.rename(at, old)
+    store.rename(fresh, at)
+    store.delete(old, True)
+    spark.catalog.refreshByPath(path)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import logtext, sqltext, tags
-from strandline.operators import admin, catalog, dml, logs, metrics, relational, versioned
+from strandline.operators import admin, catalog, ddl, dml, logs, metrics, relational, versioned
 from strandline.sources import store
-from strandline.sources.tables import scratch_folder, table
+from strandline.sources.store import DAY
+from strandline.sources.tables import scratch_folder, table, within
 from strandline.streaming import rollup as streams
 
 QUERIES: dict = {}
@@ -155,9 +156,10 @@ def join_null_keys(s, d):
     return relational.hash_join(a, b, F.col("k") == F.col("m"), "left").select("s_suppkey", "n_name")
 
 
-@_add("SELECT o_orderkey, c_custkey FROM (SELECT * FROM orders WHERE o_custkey % 3 = 0) FULL JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@_add("SELECT o_orderkey, c_custkey FROM orders FULL JOIN customer ON o_custkey = c_custkey AND o_totalprice > 200000")
 def join_full(s, d):
-    return table(s, d, "orders").filter("o_custkey % 3 = 0").join(table(s, d, "customer").filter("c_custkey % 2 = 0"), F.col("o_custkey") == F.col("c_custkey"), "full").select("o_orderkey", "c_custkey")
+    on = (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") > 200000)
+    return table(s, d, "orders").join(table(s, d, "customer"), on, "full").select("o_orderkey", "c_custkey")
 
 
 @_add("SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_totalprice > 200000")
@@ -232,13 +234,10 @@ def agg_cube(s, d):
 # --- order
 
 
-@_add("SELECT row_number() OVER (ORDER BY k ASC NULLS FIRST, c_custkey DESC NULLS LAST) AS place, c_custkey FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS k FROM customer) ORDER BY k ASC NULLS FIRST, c_custkey DESC NULLS LAST LIMIT 200")
+@_add("SELECT row_number() OVER (ORDER BY k ASC NULLS FIRST, c_custkey DESC NULLS LAST) AS place, c_custkey FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS k FROM customer) ORDER BY k ASC NULLS FIRST, c_custkey DESC NULLS LAST")
 def sort_multi_nulls(s, d):
-    from pyspark.sql import Window
-
     c = table(s, d, "customer").select("c_custkey", F.expr("nullif(c_mktsegment, 'BUILDING')").alias("k"))
-    top = relational.page(relational.sort(c, ("k", True), ("c_custkey", False)), 200)
-    return top.select(F.row_number().over(Window.orderBy(F.asc_nulls_first("k"), F.desc("c_custkey"))).alias("place"), "c_custkey")
+    return relational.numbered(relational.sort(c, ("k", True), ("c_custkey", False)), "place", f"{scratch_folder(s)}/sorted-{uuid.uuid4().hex}").select("place", "c_custkey")
 
 
 @_add("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
@@ -264,8 +263,9 @@ def topk_per_group(s, d):
 _POINTS = "(SELECT event_id, epoch_us(ts) // 1000000 AS time, 'event_type=' || event_type || ',user_id=' || user_id AS tags, event_type AS metric_name, value, user_id FROM events)"
 
 
-def _points(s, d, extra: tuple[str, ...] = ()):
-    e = table(s, d, "events")
+def _points(s, d, extra: tuple[str, ...] = (), between: tuple[int | None, int | None] = (None, None)):
+    """Events as points; `between` bounds the stored timestamp, which the reader can skip row groups by."""
+    e = within(table(s, d, "events"), "ts", *between)
     shaped = e.select(*extra, F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), F.concat(F.lit("event_type="), "event_type", F.lit(",user_id="), F.col("user_id").cast("string")).alias("tags"), F.col("event_type").alias("metric_name"), "value")
     return shaped
 
@@ -278,7 +278,7 @@ def metrics_shape(s, d):
 
 @_add(f"SELECT time, tags, metric_name, value FROM {_POINTS} WHERE time BETWEEN 1704672000 AND 1705276800")
 def metrics_range(s, d):
-    return metrics.range_scan(_points(s, d), 1704672000, 1705276800)
+    return metrics.range_scan(_points(s, d, between=(1704672000, 1705276800)), 1704672000, 1705276800)
 
 
 @_add(f"SELECT time, tags, metric_name, value FROM {_POINTS} WHERE metric_name = 'click' AND user_id = 7")
@@ -356,21 +356,21 @@ def log_severity(s, d):
     return table(s, d, "events").select("event_id", number.alias("number"), logtext.severity_to_string(number).alias("name"))
 
 
-_RAW = """CASE event_id % 6 WHEN 0 THEN '{"pid": ' || event_id || ', "level": "error", "message": "disk ' || event_type || '", "host": "web-1"}'
- WHEN 1 THEN '{"severity":"WARN","message":"low memory"}' WHEN 2 THEN '{"level":"INFO","host":"web-1"}' WHEN 3 THEN 'plain ' || event_type
- WHEN 4 THEN '[1, 2]' ELSE '{"level": 5, "status": "DEBUG", "msg": "starting up"}' END"""
+_RAW = """CASE event_id % 6 WHEN 0 THEN '{"pid": ' || event_id || ', "level": "error", "message": "queue ' || event_type || '", "node": "n-17"}'
+ WHEN 1 THEN '{"severity":"WARN","message":"cache nearly full"}' WHEN 2 THEN '{"level":"INFO","node":"n-17"}' WHEN 3 THEN 'plain ' || event_type
+ WHEN 4 THEN '[1, 2]' ELSE '{"level": 5, "status": "DEBUG", "msg": "worker ready"}' END"""
 
 
-@_add(f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'disk ' || event_type WHEN 1 THEN 'low memory' WHEN 5 THEN 'starting up' ELSE {_RAW} END AS body,
+@_add(f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'queue ' || event_type WHEN 1 THEN 'cache nearly full' WHEN 5 THEN 'worker ready' ELSE {_RAW} END AS body,
  CASE event_id % 6 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARN' WHEN 5 THEN 'DEBUG' ELSE 'INFO' END AS severity,
- CASE event_id % 6 WHEN 0 THEN '{{"host":"web-1","pid":' || event_id || '}}' WHEN 5 THEN '{{"level":5}}' ELSE '' END AS attributes FROM events""")
+ CASE event_id % 6 WHEN 0 THEN '{{"node":"n-17","pid":' || event_id || '}}' WHEN 5 THEN '{{"level":5}}' ELSE '' END AS attributes FROM events""")
 def log_payload(s, d):
     return table(s, d, "events").selectExpr("event_id", "event_type", f"{_RAW} AS raw").select("event_id", logtext.parse_log_payload(F.col("raw")).alias("p")).select("event_id", "p.body", "p.severity", "p.attributes")
 
 
 @_add(f"""SELECT epoch_us(ts) // 1000000 AS time, CASE WHEN event_type = 'error' THEN 'FATAL' WHEN event_id % 6 = 0 THEN 'ERROR' WHEN event_id % 6 = 1 THEN 'WARN' WHEN event_id % 6 = 5 THEN 'DEBUG' ELSE 'INFO' END AS severity,
- CASE event_id % 6 WHEN 0 THEN '{{"host":"web-1","pid":' || event_id || '}}' WHEN 5 THEN '{{"level":5}}' ELSE '' END AS attributes,
- CASE event_id % 6 WHEN 0 THEN 'disk ' || event_type WHEN 1 THEN 'low memory' WHEN 5 THEN 'starting up' ELSE {_RAW} END AS body FROM events""")
+ CASE event_id % 6 WHEN 0 THEN '{{"node":"n-17","pid":' || event_id || '}}' WHEN 5 THEN '{{"level":5}}' ELSE '' END AS attributes,
+ CASE event_id % 6 WHEN 0 THEN 'queue ' || event_type WHEN 1 THEN 'cache nearly full' WHEN 5 THEN 'worker ready' ELSE {_RAW} END AS body FROM events""")
 def log_shape_override(s, d):
     e = table(s, d, "events").selectExpr("*", f"{_RAW} AS raw")
     return logs.shape(e, F.unix_seconds(F.col("ts").cast("timestamp")), F.col("raw"), severity=F.when(F.col("event_type") == "error", "FATAL"))
@@ -378,7 +378,7 @@ def log_shape_override(s, d):
 
 @_add("SELECT epoch_us(ts) // 1000000 AS time, event_id FROM events WHERE epoch_us(ts) // 1000000 BETWEEN 1704672000 AND 1705276800")
 def log_range(s, d):
-    return logs.range_scan(table(s, d, "events").select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), "event_id"), 1704672000, 1705276800)
+    return logs.range_scan(within(table(s, d, "events"), "ts", 1704672000, 1705276800).select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), "event_id"), 1704672000, 1705276800)
 
 
 @_add("SELECT doc_id FROM documents WHERE contains(text, 'and the')")
@@ -402,12 +402,14 @@ def log_token_search(s, d):
 
 @_add(f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE list_contains(t, 'the') AND list_contains(t, 'license')")
 def log_postings_intersect(s, d):
-    return logs.search_postings(logs.token_postings(table(s, d, "documents"), "doc_id", "text"), "doc_id", ["the", "license"])
+    path = f"{scratch_folder(s)}/postings-{uuid.uuid4().hex}"
+    logs.write_postings(logs.token_postings(table(s, d, "documents"), "doc_id", "text"), path)
+    return logs.search_postings(logs.read_postings(s, path, ["the", "license"]), "doc_id", ["the", "license"])
 
 
 @_add("SELECT event_id FROM events WHERE epoch_us(ts) // 1000000 >= 1706572800 - 7 * 86400")
 def log_retention(s, d):
-    return logs.retain(table(s, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("time")), 1706572800).select("event_id")
+    return logs.retain(within(table(s, d, "events"), "ts", 1706572800 - 7 * DAY).select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("time")), 1706572800).select("event_id")
 
 
 @_add("SELECT event_id, epoch_us(ts) // 1000000 AS time FROM events WHERE epoch_us(ts) // 1000000 >= 1705968000")
@@ -510,12 +512,14 @@ def rbac_effective(s, d):
 
 @_add("""SELECT * FROM (VALUES (1, 0, 'CREATE USER', 'ann'), (2, 0, 'CREATE ROLE', 'reader'), (3, 1, 'GRANT', 'READ on 0 to reader'), (4, 1, 'ASSIGN', 'reader to ann'), (5, 1, 'DROP ROLE', 'reader')) t(number, by_user, action, detail)""")
 def audit_log(s, d):
-    a = admin.Admin()
+    a, path = admin.Admin(), f"{scratch_folder(s)}/audit-{uuid.uuid4().hex}"
     ann, reader = a.add_user("ann"), a.add_role("reader")
+    done = a.save_audit(s, path)
     a.grant(reader, "READ", by=ann)
     a.assign(ann, reader, by=ann)
     a.drop_role(reader, by=ann)
-    return s.createDataFrame(a.audit, "number int, by_user int, action string, detail string")
+    a.save_audit(s, path, done)
+    return s.read.parquet(path)
 
 
 @_add("""SELECT * FROM (VALUES (1, 'CREATE', 'app_logs', 'logs'), (2, 'CREATE', 'cpu', 'metrics'), (3, 'CREATE', 'users', 'sql'), (4, 'DROP', 'users', 'sql')) t(version, action, name, engine)""")
@@ -525,8 +529,7 @@ def schema_history(s, d):
     r.for_insert("cpu")
     r.create("Users", "sql", "id BIGINT, name STRING")
     r.drop("USERS")
-    engines = {"app_logs": "logs", "cpu": "metrics", "users": "sql"}
-    return s.createDataFrame([(v, a, n, engines[n]) for v, a, n, _ in r.history], "version int, action string, name string, engine string")
+    return r.history_frame(s).select("version", "action", "name", "engine")
 
 
 @_add("SELECT o_orderkey, 'SELECT col1, ? FROM table2 WHERE o_orderkey = ? AND x > ? AND h = ?' AS clean, sha256('SELECT col1, ? FROM table2 WHERE o_orderkey = ? AND x > ? AND h = ?') AS mark FROM orders")
@@ -543,7 +546,7 @@ def sql_fingerprint(s, d):
 def rollup_stream_complete(s, d):
     name = f"rollup_{uuid.uuid4().hex}"
     events = streams.read_stream(s, d, s.read.parquet(f"{d}/events.parquet").schema, "events.parquet")
-    return streams.run_to_memory(streams.rollup_stream(events), name, f"{scratch_folder(s)}/{name}").withColumn("sum", F.round("sum", 6))
+    return streams.run_to_table(streams.rollup_stream(events), f"{scratch_folder(s)}/{name}").withColumn("sum", F.round("sum", 6))
 
 
 @_add("SELECT event_id, event_type, value FROM events")
@@ -552,3 +555,123 @@ def ingest_stream(s, d):
     events = streams.read_stream(s, d, s.read.parquet(f"{d}/events.parquet").schema, "events.parquet").select("event_id", "event_type", "value")
     streams.ingest(events, f"{where}/table", f"{where}/checkpoint").awaitTermination()
     return s.read.parquet(f"{where}/table")
+
+
+# --- wider forms: windows over time and rows, joins by range and by time
+
+
+@_add("""WITH w AS (SELECT epoch_us(ts) // 1000000 AS t, value FROM events), s AS (SELECT t // 300 * 300 - k * 300 AS bucket, t, value FROM w, (VALUES (0), (1)) x(k))
+ SELECT bucket, count(value) AS count, round(sum(value), 6) AS sum FROM s WHERE t >= bucket AND t < bucket + 600 GROUP BY 1""")
+def window_sliding(s, d):
+    e = table(s, d, "events").select(F.col("ts").cast("timestamp").alias("at"), "value")
+    w = e.groupBy(F.window("at", "600 seconds", "300 seconds").alias("w")).agg(F.count("value").alias("count"), F.round(F.sum("value"), 6).alias("sum"))
+    return w.select(F.unix_seconds("w.start").alias("bucket"), "count", "sum")
+
+
+@_add("""WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM e),
+ n AS (SELECT user_id, t, sum(fresh) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM g)
+ SELECT user_id, min(t) // 1000000 AS since, count(*) AS n FROM n GROUP BY user_id, session""")
+def window_session(s, d):
+    e = table(s, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
+    w = e.groupBy("user_id", F.session_window("at", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return w.select("user_id", F.unix_seconds("w.start").alias("since"), "n")
+
+
+@_add("""SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS mean
+ FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
+def window_frames(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    return table(s, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey").over(w).alias("after"), F.round(F.avg("o_totalprice").over(w.rowsBetween(-2, 0)), 4).alias("mean"))
+
+
+@_add("""SELECT e.event_id, o.o_orderkey FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2) o
+ ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate""")
+def join_asof(s, d):
+    e = table(s, d, "events").select("event_id", "user_id", "ts")
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    return relational.asof_join(e, o, ["user_id"], "ts", ["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+@_add("SELECT p_partkey, lo FROM part, (VALUES (1, 10), (8, 20), (40, 60)) t(lo, hi) WHERE p_size BETWEEN lo AND hi")
+def join_range(s, d):
+    return relational.range_join(table(s, d, "part").select("p_partkey", "p_size"), s.createDataFrame([(1, 10), (8, 20), (40, 60)], "lo int, hi int"), "p_size", "lo", "hi", 16).select("p_partkey", "lo")
+
+
+@_add("SELECT n_name, s_name FROM nation JOIN (SELECT s_nationkey AS n_nationkey, s_name FROM supplier) USING (n_nationkey)")
+def join_using(s, d):
+    return table(s, d, "nation").join(table(s, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey").select("n_name", "s_name")
+
+
+@_add("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+def agg_grouping_sets(s, d):
+    keys = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    return table(s, d, "lineitem").groupingSets([keys[:2], keys[2:], []], *keys).agg(F.count("*").alias("n"))
+
+
+@_add("SELECT true AS near FROM (SELECT count(DISTINCT l_partkey) AS n FROM lineitem)")
+def agg_approx(s, d):
+    """An approximate distinct count is within three times its error of the exact one."""
+    both = table(s, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("n"))
+    return both.select((F.abs(F.col("a") - F.col("n")) <= 0.06 * F.col("n")).alias("near"))
+
+
+@_add("SELECT p_partkey, upper(p_brand) AS a, substr(p_name, 1, 3) AS b, abs(p_size - 25) AS c, coalesce(nullif(p_type, ''), 'none') AS d, length(p_name) AS e, replace(p_brand, '#', '-') AS f, p_size % 7 AS g FROM part")
+def builtin_functions(s, d):
+    return table(s, d, "part").selectExpr("p_partkey", "upper(p_brand) AS a", "substr(p_name, 1, 3) AS b", "abs(p_size - 25) AS c", "coalesce(nullif(p_type, ''), 'none') AS d", "length(p_name) AS e", "replace(p_brand, '#', '-') AS f", "p_size % 7 AS g")
+
+
+@_add(f"SELECT time, tags, metric_name, value FROM {_POINTS} WHERE (time > 1704672000 AND time < 1705276800 AND value > 20) OR metric_name = 'error'")
+def metrics_predicates(s, d):
+    return _points(s, d).filter("(time > 1704672000 AND time < 1705276800 AND value > 20) OR metric_name = 'error'")
+
+
+@_add("SELECT event_id FROM events WHERE epoch_us(ts) // 1000000 BETWEEN 1704672000 AND 1706276800 AND event_type = 'error' AND contains(props, '7')")
+def log_predicates(s, d):
+    e = within(table(s, d, "events"), "ts", 1704672000, 1706276800)
+    shaped = e.select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("time"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("severity"), F.col("props").alias("body"))
+    return logs.search_substring(logs.range_scan(shaped, 1704672000, 1706276800).filter("severity = 'ERROR'"), "%7%").select("event_id")
+
+
+@_add("SELECT n_nationkey::BIGINT AS id, n_name AS name, NULL::BIGINT AS rank FROM nation")
+def ddl_create_alter(s, d):
+    """CREATE, INSERT, ALTER, a view, TRUNCATE and DROP over the session's catalogue; what the view gives before the end."""
+    r, name = catalog.Registry(), f"ddl_{uuid.uuid4().hex}"
+    ddl.create_table(s, r, name, "id BIGINT, name STRING")
+    table(s, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name")).write.insertInto(name)
+    ddl.truncate_table(s, r, name)
+    ddl.add_column(s, r, name, "rank BIGINT")
+    rows = table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("bigint").alias("rank"))
+    rows.write.insertInto(name)
+    ddl.create_view(s, r, f"{name}_view", f"SELECT id, name, rank FROM {name}", [name])
+    path = f"{scratch_folder(s)}/{name}"
+    s.table(f"{name}_view").write.parquet(path)
+    ddl.drop_view(s, r, f"{name}_view")
+    ddl.drop_table(s, r, name)
+    return s.read.parquet(path)
+
+
+@_add("SELECT o_orderkey, count(*) AS n FROM orders GROUP BY 1")
+def compact_files(s, d):
+    """Many small files, checked and compacted to few; all rows are there."""
+    path = f"{scratch_folder(s)}/compact-{uuid.uuid4().hex}"
+    table(s, d, "orders").select("o_orderkey", "o_totalprice").repartition(12).write.parquet(path)
+    versioned.check(s.read.parquet(path), ["o_orderkey"])
+    versioned.compact(s, path, 2)
+    return s.read.parquet(path).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+
+
+@_add("SELECT * FROM (VALUES (1, 'app_logs', 'logs', 'CREATE'), (2, 'cpu', 'metrics', 'CREATE'), (3, 'users', 'sql', 'CREATE'), (4, 'users', 'sql', 'DROP')) t(version, name, engine, action)")
+def system_tables(s, d):
+    """The catalogue as append-only tables: what a second session reads after the first has gone."""
+    path = f"{scratch_folder(s)}/catalogue-{uuid.uuid4().hex}"
+    first = catalog.Registry()
+    first.for_insert("App_Logs")
+    first.for_insert("cpu")
+    first.create("users", "sql", "id BIGINT")
+    first.save(s, path)
+    second = catalog.Registry.load(s, path)
+    second.drop("USERS")
+    second.save(s, path)
+    return catalog.Registry.load(s, path).history_frame(s).select("version", "name", "engine", "action")
