@@ -39,8 +39,8 @@ from strandline.llm.components import components
 from strandline.llm.words import LOWER_ASCII, Words, gathered, splitmix, text_slices
 
 MISS = 1e-6
-#: Members and shingles of a block.
-BLOCK, BLOCK_SHINGLES = 128, 400_000
+#: Members and shingles of a block. A group of two blocks gets signatures (about a megabyte), then sets of bounded size.
+BLOCK, BLOCK_SHINGLES = 1024, 400_000
 
 
 def plan(percent: int, miss: float = MISS) -> tuple[int, int]:
