@@ -112,6 +112,20 @@ def test_wavelet_files(spark, docs, empty):
     assert many == {k: g["start"] for k, g in got.items()}
 
 
+def test_wavelet_folder(spark, docs):
+    """Counts and places over a folder equal a plain scan of the ids; null and repeated doc_ids are documents of their own."""
+    odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "the stone"), (None, None), (0, "the of the")], "doc_id long, text string"))
+    path = wavelet.new_path(spark, "folder")
+    sizes = wavelet.write_shards(odd, path, shard_tokens=150)
+    rows = sorted(wavelet.read_shards(spark, path, sizes).collect(), key=lambda r: r["start"])
+    assert len(rows) == odd.count() and [r["doc_id"] for r in rows[:2]] == [None, None]
+    flat = [(i, r["doc_id"], k, r["start"] + k) for r in rows for k, i in enumerate(np.frombuffer(r["ids"], "<u4").tolist())]
+    common = [t for t, _ in Counter(i for i, *_ in flat).most_common(3)] + [41000]
+    assert {r["token"]: r["n"] for r in wavelet.token_counts(spark, path, common).collect()} == {t: sum(i == t for i, *_ in flat) for t in common}
+    places = [tuple(r) for r in wavelet.token_places(spark, path, sizes, common[1:]).collect()]
+    assert sorted(places, key=str) == sorted((x for x in flat if x[0] in common[1:]), key=str)
+
+
 # --- decontamination
 
 
