@@ -8,7 +8,8 @@
    and the links' components are found.
 3. A link that no star holds joins different components that meet in some bucket. Every bucket whose members but for the
    least one are in several components is compared: members outside the bucket's largest component with all the others, first on the signatures, then those
-   members that some signature speaks for on the full sets. A bucket is cut into blocks (BLOCK members, BLOCK_SHINGLES
+   members that some signature speaks for on the full sets. A pair that shares several bands is looked at in the first
+   of them only: all its buckets would compare it, or have done so as stars. A bucket is cut into blocks (BLOCK members, BLOCK_SHINGLES
    shingles at most, by hash) and each pair of blocks that may hold such a link is one small group, which gives no more
    links than it joins components. Copies of one text that the stars have joined are not compared again. A bucket of m
    members, r of them outside its largest component, so sends each member's signature to at most r / BLOCK + m / BLOCK
@@ -167,24 +168,28 @@ def _agree(count: int, percent: int) -> Column:
     return agree(F.col("minima_a"), F.col("minima_b"))
 
 
-def _likely_rows(count: int, percent: int):
-    """The rows of a meet whose signature agrees with one that it is to be compared with, of another component."""
+def _likely_rows(rows: int, bands: int, percent: int):
+    """The rows of a meet whose signature agrees with one that it is to be compared with, of another component, and
+    shares no earlier band with it."""
+    count = rows * bands
     least = _least_equal(count, percent)
 
     def likely(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         minima = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint32).reshape(len(table), count)
         n, seed = table["n"].to_numpy(), table["seed"].to_numpy(zero_copy_only=False)
-        component, inner = table["component"].to_numpy(), table["inner"][0].as_py()
+        component, inner, band = table["component"].to_numpy(), table["inner"][0].as_py(), table["band"][0].as_py()
         others = np.arange(len(table)) if inner else np.flatnonzero(~seed)
         found = np.zeros(len(table), bool)
         for s in np.flatnonzero(seed):
             sized = 100 * np.minimum(n[others], n[s]) >= percent * np.maximum(n[others], n[s])
             near = others[sized & (component[others] != component[s])]
-            near = near[(minima[near] == minima[s]).sum(1) >= least]
+            same = minima[near] == minima[s]
+            first = same.reshape(-1, bands, rows).all(2).argmax(1)
+            near = near[(same.sum(1) >= least) & (first == band)]
             if len(near):
                 found[near] = found[s] = True
-        return table.drop_columns(["minima", "n"]).filter(pa.array(found))
+        return table.drop_columns(["minima", "n", "band"]).filter(pa.array(found))
 
     return likely
 
@@ -206,7 +211,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, width:
 
 
 def _meets(members: DataFrame) -> DataFrame:
-    """(meet, inner, seed, doc_id, name, n, component) from members (bucket, doc_id, name, component, n) of buckets: `meet`
+    """(meet, band, inner, seed, doc_id, name, n, component) from members (bucket, band, doc_id, name, component, n) of buckets: `meet`
     names a pair of blocks, `seed` rows are to be compared with the others, and where `inner` is set with each other too."""
     parts = members.groupBy("bucket", "component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     buckets = parts.groupBy("bucket").agg(
@@ -226,7 +231,7 @@ def _meets(members: DataFrame) -> DataFrame:
     )
     sent = here.withColumn("m", F.explode(F.when(F.col("in_core"), with_rest).otherwise(F.concat(with_core, among))))
     inner = (F.col("m.kind") == 0) & (F.col("m.i") == 0)
-    return sent.select(F.xxhash64("bucket", "m.kind", "m.i", "m.j").alias("meet"), inner.alias("inner"), F.col("m.seed").alias("seed"), "doc_id", "name", "n", "component")
+    return sent.select(F.xxhash64("bucket", "m.kind", "m.i", "m.j").alias("meet"), "band", inner.alias("inner"), F.col("m.seed").alias("seed"), "doc_id", "name", "n", "component")
 
 
 def _joining_links(percent: int):
@@ -274,7 +279,7 @@ def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     classes = staged(sketched.join(names, ["name", "doc_id"]).dropDuplicates(["name", "doc_id"]).select("doc_id", "name", "n", "minima", "bands"), "minhash-classes")
     thin = staged(sketched.select("doc_id", "n", "name"), "minhash-thin")
     discard(spark, sketched)
-    banded = classes.select("doc_id", "name", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "doc_id", "name", "n")
+    banded = classes.select("doc_id", "name", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "band", "doc_id", "name", "n")
     stars = banded.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("members")).filter("members > 1")
     filed = staged(banded.join(stars.select("bucket", "a"), "bucket"), "minhash-filed")
     pairs = staged(filed.filter("a != doc_id").select("a", F.col("doc_id").alias("b")).distinct(), "minhash-stars")
@@ -286,7 +291,7 @@ def linked(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     mine = staged(mine, "minhash-members")
     signed = _meets(mine).join(classes.select("name", "minima"), "name")
     schema = "name binary, meet long, inner boolean, seed boolean, doc_id long, component long"
-    meets = staged(signed.groupBy("meet").applyInArrow(_likely_rows(rows * bands, percent), schema), "minhash-meets")
+    meets = staged(signed.groupBy("meet").applyInArrow(_likely_rows(rows, bands, percent), schema), "minhash-meets")
     sets = _sets(documents, meets.select("doc_id", "name").distinct(), width)
     more = staged(meets.join(sets, "name").groupBy("meet").applyInArrow(_joining_links(percent), "u long, v long"), "minhash-more")
 
