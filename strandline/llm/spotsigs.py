@@ -16,10 +16,12 @@ empty result; a lone document is its own next one; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import partitions
+from strandline.llm.common import partitions, staged
 
 CHAIN = 2
 #: Common words of English, French, German and Spanish prose.
@@ -32,18 +34,29 @@ COMMON = (
 
 _MARK = "\x01"
 
+#: So many sets filed under one (signature, size range) are a crowd, compared in blocks of BLOCK by all.
+CROWD, BLOCK = 64, 1024
+
 
 def _bound(value: Column, body) -> Column:
     """body(value) with `value` worked out once a row, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _any_of(words: set[str]) -> str:
+    """A regular expression of `words` that branches letter by letter, so most other words fail at their first or second."""
+    after: dict[str, set[str]] = {}
+    for w in words - {""}:
+        after.setdefault(w[0], set()).add(w[1:])
+    body = "|".join(c + _any_of(rest) for c, rest in sorted(after.items()))
+    return f"(?:{body})" + "?" * ("" in words) if body else ""
+
+
 def signatures(text: Column, chain: int = CHAIN, common: list[str] = COMMON) -> Column:
     """The sorted distinct signature hashes (array of long) of a text column."""
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     # Each common word is glued to what follows it; a run of them becomes marks before one content word.
-    pattern = rf" ({'|'.join(sorted(set(common), key=len, reverse=True))})(?= )"
-    glued = F.replace(F.regexp_replace(words, pattern, f" $1{_MARK}"), F.lit(f"{_MARK} "), F.lit(_MARK))
+    glued = F.regexp_replace(words, f"(?<= )({_any_of(set(common))}) ", f"$1{_MARK}")
     tokens = F.split(F.trim(glued), " ")
 
     def spots(ts: Column) -> Column:
@@ -125,38 +138,65 @@ def digests(documents: DataFrame) -> DataFrame:
 
 
 def _classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((name, class, sigs, n) of each distinct signature set that is not empty, (doc_id, name, class) of each row)."""
-    signed = documents.select("doc_id", signatures(F.col("text")).alias("sigs")).withColumn("name", fingerprint(F.col("sigs")))
-    least = signed.groupBy("name").agg(F.min("doc_id").alias("class"))
-    member = signed.select("doc_id", "name").join(least, "name").select("doc_id", "name", "class")
-    sets = signed.join(least, "name").filter((F.col("doc_id") == F.col("class")) & (F.size("sigs") > 0))
-    return sets.select("name", "class", "sigs", F.size("sigs").alias("n")).dropDuplicates(["name"]), member
-
-
-def _linked(sets: DataFrame, threshold: float) -> DataFrame:
-    """(name_a, a, name_b, b, likeness): pairs of different sets that reach `threshold`, each once.
-
-    Both sides of the join on (signature, size range) are plain exchanges, so that adaptive execution splits a signature
-    that very many sets are filed under; a pair is compared at the rarest signature that both are filed under only."""
-    each = sets.select("name", "n", F.explode("sigs").alias("sig"))
-    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("spread")), "sig").groupBy("name", "n").agg(F.sort_array(F.collect_list(F.struct("spread", "sig"))).alias("order"))
-    prefix = F.transform(F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")), lambda p: p["sig"])
+    """(doc_id, name, sigs, row of each row, staged: its signatures are worked out once; name, set, class of each distinct
+    signature set). A set is told by the least `row` that has it, a short key without clashes; its class is its least doc_id."""
+    sigs = documents.select("doc_id", signatures(F.col("text")).alias("sigs"), F.monotonically_increasing_id().alias("row"))
+    signed = staged(sigs.select("doc_id", "row", "sigs", F.unhex(F.substring_index(fingerprint(F.col("sigs")), ":", -1)).alias("name")), "spots")
+    return signed, signed.groupBy("name").agg(F.min("row").alias("set"), F.min("doc_id").alias("class"))
+
+
+def _shared(signed: DataFrame, known: DataFrame) -> DataFrame:
+    """(set, class, n, order), staged: of the sets with a class, n signatures and those `order` that other sets have too,
+    (spread, sig) from the rarest on. Signatures of one set alone meet nothing and move no further than their count."""
+    sets = signed.join(known.filter("class IS NOT NULL").select(F.col("set").alias("row"), "class"), "row").filter(F.size("sigs") > 0)
+    each = sets.select(F.col("row").alias("set"), "class", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    spread = each.groupBy("sig").agg(F.count("*").alias("spread")).filter("spread > 1")
+    return staged(each.join(spread, "sig").groupBy("set").agg(F.first("class").alias("class"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("spread", "sig"))).alias("order")), "shared")
+
+
+def _linked(shared: DataFrame, threshold: float) -> DataFrame:
+    """(set_a, a, set_b, b, likeness): pairs of different sets that reach `threshold`, each once.
+
+    Sets meet on (signature, size range); a pair is compared at the rarest signature that both are filed under only. A
+    set's own signatures are the rarest of all: they take the first places of its prefix and are not filed. Where few meet,
+    each pair fetches its sets. In a crowd (more sets than a prefix is long, so that sets sent to each of their signatures are
+    less than sets sent to each of their pairs) the sets are there already, and blocks of one side are dealt to tasks."""
+    spare = 1e-9  # for products of the threshold that are whole numbers but for rounding
+    key = ["sig", "size_range"]
+    ranked = shared.select("set", "n", F.transform("order", lambda p: p["sig"]).alias("sigs")).withColumn("own", F.col("n") - F.size("sigs"))
+    length = F.greatest(F.col("n") - F.ceil(F.col("n") * threshold - spare) + 1 - F.col("own"), F.lit(0)).cast("int")
     width = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    filed = ranked.select("name", "n", width.alias("size_range"), prefix.alias("prefix"))
-    filed = filed.select("name", "n", "size_range", "prefix", F.posexplode("prefix").alias("at", "sig"))
-    left = filed.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("name", "n", "prefix", "at")], F.explode(F.array("size_range", F.col("size_range") + 1)).alias("size_range"), F.col("size_range").alias("range_a"))
-    right = filed.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("name", "n", "prefix", "at")], "size_range")
+    filed = ranked.select("set", "n", "own", width.alias("size_range"), F.slice("sigs", F.lit(1), length).alias("prefix"))
+    filed = filed.select("set", "n", "own", "size_range", "prefix", F.posexplode("prefix").alias("k", "sig"))
+    filed = staged(filed.select("set", "n", *key, (F.col("own") + F.col("k")).alias("at"), F.slice("prefix", F.lit(1), F.col("k")).alias("before")), "filed")
+    longest = (1 - threshold) * F.pow(F.lit(1 / threshold), F.col("size_range") + 1)
+    crowds = filed.groupBy(*key).agg(F.count("*").alias("spread")).filter(F.col("spread") >= F.greatest(F.lit(CROWD), longest))
+    crowds = staged(crowds.select(*key, F.ceil(F.col("spread") / BLOCK).cast("int").alias("blocks")), "crowds")
+
+    left = filed.select("sig", *[F.col(c).alias(f"{c}_a") for c in ("set", "n", "before", "at")], F.explode(F.array("size_range", F.col("size_range") + 1)).alias("size_range"), F.col("size_range").alias("range_a"))
+    right = filed.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "before", "at")], "size_range")
     # Within one range a pair meets twice, once either way; between ranges once.
-    once = (F.col("range_a") != F.col("size_range")) | (F.col("name_a") < F.col("name_b"))
-    near = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
+    once = (F.col("range_a") != F.col("size_range")) | (F.col("set_a") < F.col("set_b"))
+    near = (F.col("n_a") >= threshold * F.col("n_b") - spare) & (F.col("n_b") >= threshold * F.col("n_a") - spare)
     # Positions: what both can still share from here on is not enough where too little is left of either.
     left_over = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    enough = left_over * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
-    first = ~F.arrays_overlap(F.slice("prefix_a", F.lit(1), F.col("at_a")), F.slice("prefix_b", F.lit(1), F.col("at_b")))
-    likely = left.join(right, ["sig", "size_range"]).filter((F.col("name_a") != F.col("name_b")) & once & near & enough & first).select("name_a", "name_b")
-    of = lambda k: sets.select(F.col("name").alias(f"name_{k}"), F.col("class").alias(k), F.col("sigs").alias(f"sigs_{k}"))
-    met = likely.join(of("a"), "name_a").join(of("b"), "name_b")
-    return met.select("name_a", "a", "name_b", "b", likeness(F.col("sigs_a"), F.col("sigs_b")).alias("likeness")).filter(F.col("likeness") >= threshold)
+    enough = left_over * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - spare
+    # Near copies mostly share one of the first few; only where they do not are all looked through.
+    early = F.lit(False)
+    for i, j in product(range(3), repeat=2):
+        early = early | F.coalesce(F.get("before_a", F.lit(i)) == F.get("before_b", F.lit(j)), F.lit(False))
+    likely = (F.col("set_a") != F.col("set_b")) & once & near & enough & ~early & ~F.arrays_overlap("before_a", "before_b")
+
+    of = lambda k: shared.select(F.col("set").alias(f"set_{k}"), F.col("class").alias(k), F.transform("order", lambda p: p["sig"]).alias(f"sigs_{k}"))
+    like = _bound(F.size(F.array_intersect("sigs_a", "sigs_b")), lambda both: both / (F.col("n_a") + F.col("n_b") - both))
+    found = ["set_a", "a", "set_b", "b", like.alias("likeness")]
+    few = left.join(crowds, key, "left_anti").join(right.join(crowds, key, "left_anti"), key).filter(likely).select("set_a", "n_a", "set_b", "n_b")
+    few = few.join(of("a"), "set_a").join(of("b"), "set_b").filter(like >= threshold)
+    block = F.pmod(F.xxhash64("set_a"), F.col("blocks")).cast("int").alias("block")
+    ours = left.join(crowds, key).select(*left.columns, block).join(of("a"), "set_a")
+    theirs = right.join(crowds, key).join(of("b"), "set_b").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = ours.join(theirs, [*key, "block"]).filter(likely & (like >= threshold))
+    return few.select(*found).unionByName(many.select(*found))
 
 
 def pairs(documents: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -164,14 +204,15 @@ def pairs(documents: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, Data
     Jaccard coefficient reaches `threshold`, with `likeness`; and doc_id with its class. Empty sets are in no pair; a row
     without doc_id has the class of its set, none where no row with a doc_id has that set. Where one doc_id names several
     sets, a pair of classes has the best likeness of theirs."""
-    sets, member = _classes(documents)
-    close = _linked(sets, threshold).filter("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("likeness").alias("likeness"))
-    return close, member.select("doc_id", "class")
+    signed, known = _classes(documents)
+    close = _linked(_shared(signed, known), threshold).filter("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("likeness").alias("likeness"))
+    return close, signed.select("doc_id", "name").join(known, "name").select("doc_id", "class")
 
 
 def links(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, class_id and n_links (other sets that reach `threshold`) of each row of `documents`."""
-    sets, member = _classes(documents)
-    met = _linked(sets, threshold)
-    ends = met.select(F.explode(F.array("name_a", "name_b")).alias("name")).groupBy("name").agg(F.count("*").alias("n_links"))
-    return member.join(ends, "name", "left").select("doc_id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    signed, known = _classes(documents)
+    met = _linked(_shared(signed, known), threshold)
+    ends = met.select(F.explode(F.array("set_a", "set_b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
+    counted = known.join(ends, "set", "left").select("name", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return signed.select("doc_id", "name").join(counted, "name").select("doc_id", "class_id", "n_links")

@@ -380,6 +380,39 @@ def test_spotsigs_links(spark, docs, empty):
     assert spotsigs.links(empty).count() == 0
 
 
+def chain(*names):
+    """A text with one signature for each name."""
+    return " ".join(f"the {w}" for w in names)
+
+
+def test_spotsigs_links_read_texts_once(docs):
+    plan = spotsigs.links(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "text#" not in plan
+
+
+def test_spotsigs_links_at_a_threshold_that_rounds_up(spark):
+    # 14 signatures of 25: 0.56, though 0.56 * 25 is a little over 14 in binary.
+    names = [f"w{i}" for i in range(26)]
+    rows = spark.createDataFrame([(1, chain(*names)), (2, chain(*names[:15]))], "doc_id long, text string")
+    assert [r["n_links"] for r in spotsigs.links(rows, 0.56).collect()] == [1, 1]
+
+
+def test_spotsigs_links_in_crowds(spark, monkeypatch):
+    """The same links where few meet, in crowds, and in crowds of many blocks; each pair once, none lost between the two ways."""
+    rng = random.Random(5)
+    texts = [chain(*(f"w{i}" if rng.random() > 0.06 else f"v{k}x{i}" for i in range(rng.choice((28, 30, 34))))) for k in range(45)]
+    texts += [chain(*(f"q{rng.randrange(60)}" for _ in range(rng.randint(3, 30)))) for _ in range(45)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    sets = [frozenset(brute_spots(t)) for t in texts]
+    for threshold in (0.3, 0.7):
+        expected = [sum(jaccard(a, b) >= threshold for b in set(sets)) - 1 for a in sets]
+        assert max(expected) > 20
+        for crowd, block in ((1 << 30, 1024), (2, 4), (30, 16)):
+            monkeypatch.setattr(spotsigs, "CROWD", crowd)
+            monkeypatch.setattr(spotsigs, "BLOCK", block)
+            assert [r["n_links"] for r in spotsigs.links(rows, threshold).orderBy("doc_id").collect()] == expected
+
+
 # --- url lists
 
 
